@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .decontam import contamination
 from .langid import identify
+from .packing import pack
 from .quality import verdicts
 from .simhash import near_duplicate_classes
 
@@ -33,12 +34,17 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_quality_rules": op2_quality_rules,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op8_best_fit_packing": op8_best_fit_packing,
     }
 
 
