@@ -272,9 +272,9 @@ def contamination(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BY
     return hits.select("doc_id", "n_words", merge["n"].alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), sorted_spans.alias("spans"))
 
 
-def cut_spans(text: bytes, spans: list[list[int]]) -> bytes:
+def cut_spans(text: bytes, spans: list[list[int]], table: bytes = X.ALNUM_LOWER) -> bytes:
     """The text without the words of these spans, nor what stands between them."""
-    marks = np.frombuffer(text.translate(X.ALNUM_LOWER), np.uint8) != 32
+    marks = np.frombuffer(text.translate(table), np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
     start, end = edge[::2], edge[1::2]
     out, at = [], 0

@@ -10,6 +10,7 @@ from . import sql
 from .decontam import contamination
 from .langid import identify
 from .packing import pack
+from .passages import passages
 from .quality import verdicts
 from .simhash import near_duplicate_classes
 
@@ -34,6 +35,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op6_substring_dedup": op6_substring_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
 
