@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .decontam import contamination
 from .langid import identify
+from .lattice import score
 from .packing import pack
 from .passages import passages
 from .quality import verdicts
@@ -35,6 +36,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_substring_dedup": op6_substring_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
