@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sql
+from . import chat, sql
 from .decontam import contamination
 from .langid import identify
 from .lattice import score
@@ -44,6 +44,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_forged_turn(_table(spark, sf_dir, "conversations")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -56,9 +60,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_chat_formatting": op7_chat_formatting,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.QUALITY, "op4_benchmark_decontamination": sql.CONTAMINATION}
+    return {"op2_quality_rules": sql.QUALITY, "op4_benchmark_decontamination": sql.CONTAMINATION, "op7_chat_formatting": sql.CHAT}
