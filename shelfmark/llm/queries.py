@@ -10,10 +10,12 @@ from . import chat, sql
 from .decontam import contamination
 from .langid import identify
 from .lattice import score
+from .licenses import scan
 from .packing import pack
 from .passages import passages
 from .quality import verdicts
 from .simhash import near_duplicate_classes
+from .urls import verdicts as url_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -62,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_license_scan": op9_license_scan,
+        "op10_url_filter": op10_url_filter,
     }
 
 
