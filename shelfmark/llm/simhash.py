@@ -90,10 +90,12 @@ def _byte_counts(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp.view(np.uint8)).reshape(len(fp), -1).astype(np.int8)
 
 
-def compare_cells(batches: Iterator[pa.RecordBatch], bits: list[str], cell: list[str], node: str, radius: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by cell.  Gives (a, b) of every two rows of a cell, under window
-    places apart, that differ in at most radius bits, and (a, null) for every row of a
-    cell with over window rows.  Only the last window rows are kept between batches."""
+def compare_cells(batches: Iterator[pa.RecordBatch], bits: list[str], cell: list[str], node: str, radius: int, window: int, full: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by cell.  Compares every two rows of a cell that are under window
+    places apart; of those that differ in at most radius bits, gives links (a, b) that
+    hang together what they hang together, each group on its least node.  Also gives
+    (a, null) for every row of a cell with over window rows, if full is to be told.  Only
+    the last window rows are kept between batches."""
     kept: pa.Table | None = None
     rank0 = 0
     for batch in batches:
@@ -127,11 +129,19 @@ def compare_cells(batches: Iterator[pa.RecordBatch], bits: list[str], cell: list
             near = np.abs(counts[left] - counts[right]).sum(1) <= radius
             left, right = left[near], right[near]
             exact = np.bitwise_count(fp[left] ^ fp[right]).sum(1) <= radius
-            a.append(who[left[exact]])
-            b.append(who[right[exact]])
-        hot = who[big[run]]
-        ends = np.concatenate([*b, []]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, hot]).astype(np.int64)), pa.array(np.concatenate([ends, np.zeros(len(hot), np.int64)]), mask=np.arange(len(ends) + len(hot)) >= len(ends))], names=["a", "b"])
+            a.append(left[exact])
+            b.append(right[exact])
+        left, right = (np.concatenate([*x, []]).astype(np.int64) for x in (a, b))
+        top = who.copy()
+        while len(left):
+            least = np.minimum(top[left], top[right])
+            if (top[left] == least).all() and (top[right] == least).all():
+                break
+            np.minimum.at(top, left, least)
+            np.minimum.at(top, right, least)
+        hung = np.flatnonzero(top != who)
+        hot = who[big[run]] if full else who[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([top[hung], hot]).astype(np.int64)), pa.array(np.concatenate([who[hung], hot]).astype(np.int64), mask=np.arange(len(hung) + len(hot)) >= len(hung))], names=["a", "b"])
         keep = min(window, int(rank[-1]) + 1, n)
         rank0 = int(rank[-1]) + 1 - keep
         kept = table.slice(n - keep)
@@ -158,10 +168,9 @@ def links(nodes: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, words: int = 3, window: int = WINDOW) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links) of every row of docs.
+    """(doc_id, fingerprint, component_id) of every row of docs.
 
     component_id is the least doc_id reached over links of at most two differing bits.
-    n_links counts the fingerprints linked directly to the row's own on the way taken.
     Equal texts, and all texts without words (fingerprint 0), share a fingerprint and so
     a component.  Repeated rows come back as often as they came; a null doc_id is never
     a component's id, so a component of null ids alone has a null id.  Other columns are
@@ -169,8 +178,93 @@ def near_duplicate_classes(docs: DataFrame, words: int = 3, window: int = WINDOW
     """
     fps = X.written(fingerprints(docs, words), "fingerprints")
     nodes = X.written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    edges = X.written(links(nodes.where("rep is not null"), window), "simhash-edges")
-    found = components(edges)
-    degree = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    classes = nodes.join(found, nodes.rep == found.node, "left").drop("node").join(degree, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    found = components(links(nodes.where("rep is not null"), window))
+    classes = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The wide fingerprint of near_duplicates(): words of 64 bits, words in a shingle, and
+#: the differing bits up to which documents are linked.  Two sets of shingles with a
+#: Jaccard similarity of J differ in about 256 * acos(2J / (1 + J)) / pi bits, 38 at 0.8.
+LANES, SHINGLE, RADIUS = 4, 5, 38
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, f0..f3): 256 bits, each 1 if in over half of the hashes of the lower-cased
+    text's five-word shingles (fewer words make one; no words, all zero)."""
+    X.bounded_batches(docs.sparkSession)
+    lanes = X.mix(np.arange(11, 11 + LANES, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = X.as_bytes(batch.column("text"))
+            out = [np.zeros((0, LANES), np.uint64)]
+            for a, b in X.chunks(texts):
+                _, _, h, counts = X.hashed_words(texts[a:b], X.PLAIN_LOWER)
+                sh, at = X.shingles(h, counts, SHINGLE)
+                n = np.bincount(np.repeat(np.arange(b - a), counts)[at], minlength=b - a)
+                short = np.flatnonzero((counts > 0) & (n == 0))
+                first = np.cumsum(counts) - counts
+                one = np.array([X.mix(np.array([int(sum((i + 1) * int(x) for i, x in enumerate(h[first[i] : first[i] + counts[i]]))) % (1 << 64)], np.uint64))[0] for i in short], np.uint64)
+                sh = np.insert(sh, (np.cumsum(n) - n)[short], one) if len(short) else sh
+                n[short] = 1
+                out.append(np.stack([X.majority(X.mix(sh ^ lane), n) for lane in lanes], axis=1))
+            f = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(f[:, i]).view(np.int64)) for i in range(LANES))], names=["doc_id", *(f"f{i}" for i in range(LANES))])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"f{i} long" for i in range(LANES)))
+
+
+def _sampled_grids(bits: int) -> list[tuple[int, ...]]:
+    """Grids of so many one-bit segments each, as a mask for each lane.  Two in five
+    more grids than bits keep the chance to meet as the corpus, and so bits, grows."""
+    rnd = np.random.default_rng(20)
+    out = []
+    for g in range(int(2.5 * bits)):
+        mask = [0] * LANES
+        for i in rnd.choice(64 * LANES, bits, replace=False).tolist():
+            mask[i // 64] |= 1 << i % 64
+        out.append((g, *map(_signed, mask)))
+    return out
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, window: int = WINDOW) -> DataFrame:
+    """(doc_id, component_id) of every row: near duplicates by five-word shingles at a
+    similarity of about 0.8 or more, as the wide fingerprints tell it.
+
+    At so wide a radius no choice of groups must agree, so grids are drawn: each has the
+    bit counts of log2(n) segments of one bit, n being the number of distinct
+    fingerprints, so that a cell has about one stranger at any size.  Fingerprints that
+    differ in 29 bits (similarity 0.88) meet in one of the grids with a chance of 0.99 or
+    more, those at the radius of about 0.9.  In a cell of over `window` rows each row is
+    compared with its neighbours in sorted order; the grids order and part such groups
+    each in another way.  Equal fingerprints always share a component.
+    """
+    names = [f"f{i}" for i in range(LANES)]
+    fps = X.written(wide_fingerprints(docs), "wide-fingerprints")
+    nodes = X.written(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")), "wide-nodes")
+    n = nodes.count()
+    grids = _sampled_grids(max(16, int(n).bit_length()))
+    spark = docs.sparkSession
+    listed = F.array(*[F.struct(F.lit(g[0]).alias("grid"), *[F.lit(m).alias(f"m{i}") for i, m in enumerate(g[1:])]) for g in grids])
+    cell = F.xxhash64(*[F.col(c).bitwiseAND(F.col(f"k.m{i}")) for i, c in enumerate(names)])
+    dealt = nodes.where("rep is not null").select(*names, "rep", F.explode(listed).alias("k")).select(*names, "rep", F.xxhash64("k.grid", cell).alias("cell"))
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.repartition(many, "cell").sortWithinPartitions("cell", *names)
+    found = components(met.mapInArrow(lambda it: compare_cells(it, names, ["cell"], "rep", radius, window, False), "a long, b long"))
+    classes = nodes.join(found, nodes.rep == found.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(classes, names).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one document of each class of near duplicates, the one with the least
+    doc_id; all columns as they were.  Of rows that repeat a doc_id one stays.  Rows
+    with a null doc_id can't be told apart, so they stay."""
+    classes = X.written(near_duplicates(docs, radius), "near-classes")
+    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    ids = classes.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if ids.n == ids.d:
+        return kept
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))

@@ -81,3 +81,54 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((str(r.doc_id), str(r.component_id)) for r in S.near_duplicate_classes(df).collect())
     assert got == [("7", "7"), ("7", "7"), ("None", "7"), ("None", "None")]
     assert S.near_duplicate_classes(df.limit(0)).collect() == []
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_by_five_words(spark):
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, kin = [], []
+    for i in range(60):
+        text = [rnd.choice(vocabulary) for _ in range(rnd.choice([40, 200, 900]))]
+        rows.append((len(rows), " ".join(text)))
+        for _ in range(rnd.choice([0, 2, 3])):
+            copy = list(text)
+            for _ in range(max(1, len(text) // 200)):
+                copy[rnd.randrange(len(copy))] = "Edited"
+            kin.append((rows[-1][0], len(rows), jaccard(" ".join(text), " ".join(copy))))
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_chars long")
+    at = {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()}
+    close = [(a, b) for a, b, j in kin if j >= 0.87]
+    assert len(close) > 30 and sum(at[a] == at[b] for a, b in close) >= 0.97 * len(close)
+    group = {}
+    for a, b, _ in kin:
+        group[b] = group.setdefault(a, a)
+    assert all(group.get(d, d) == group.get(c, c) for d, c in at.items())
+    out = S.keep_one(df).collect()
+    assert sorted(r.doc_id for r in out) == sorted(set(at.values()))
+
+
+def test_keep_one_nulls_short_repeats(spark):
+    rows = [(5, "a b"), (4, "A  b"), (3, "b a"), (2, None), (1, ""), (None, "a b"), (None, "z z z z z z"), (6, "only"), (6, "only"), (7, "x " * 40000), (8, "X " * 40000)]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string")
+    out = S.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "4", "6", "7", "None", "None"]
+    assert S.keep_one(df.limit(0)).collect() == []
+
+
+def test_full_cells_of_near_copies_hold_together(spark):
+    rnd = random.Random(1)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(600)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        copy[rnd.randrange(600)] = f"new{i}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in S.near_duplicates(df, window=8).collect()} == {0}
