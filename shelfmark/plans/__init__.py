@@ -1 +1 @@
-
+"""Registered queries: operators applied to the given tables."""

@@ -1 +1 @@
-
+"""Readers of container files into entries and chunks."""
