@@ -122,21 +122,3 @@ def members(files: DataFrame) -> DataFrame:
     packed = files.where(kind_of_content(F.col("content")).isin("zip", "gzip")).select("path", "content")
     return packed.mapInArrow(run, "path string, ordinal int, name string, is_dir boolean, data_len long, data_size long, crc32 long, method int, good boolean")
 
-
-def prodos_directory(blocks: DataFrame, key_block: int = 2) -> DataFrame:
-    """(path, chunk, slot, name, storage, file_type, key, blocks_used, data_len, aux_type,
-    access, created): file rows of a ProDOS volume directory, from chunks().
-
-    A directory block holds 13 entries of 39 bytes after four bytes of links.  The four
-    blocks that a volume directory commonly has are read; entries without a storage type
-    are free, and the volume's own header is left out.
-    """
-    from ..functions import dates
-
-    slots = blocks.where(F.col("chunk").between(key_block, key_block + 3)).select("path", "chunk", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("slot"), "data").select("path", "chunk", "slot", F.substring("data", F.col("slot") * 39 + 5, F.lit(39)).alias("e"))
-    e = F.col("e")
-    first = bits.uint(e, 0, 1)
-    storage = F.shiftright(first, 4)
-    stamp = lambda at: F.shiftleft(bits.uint(e, at + 2, 2), 16) + bits.uint(e, at, 2)
-    rows = slots.select("path", "chunk", "slot", F.decode(F.substring(e, F.lit(2), first.bitwiseAND(F.lit(15)).cast("int")), "ISO-8859-1").alias("name"), storage.alias("storage"), bits.uint(e, 16, 1).alias("file_type"), bits.uint(e, 17, 2).alias("key"), bits.uint(e, 19, 2).alias("blocks_used"), bits.uint(e, 21, 3).alias("data_len"), bits.uint(e, 31, 2).alias("aux_type"), bits.uint(e, 30, 1).alias("access"), dates.from_prodos(stamp(24)).alias("created"))
-    return rows.where(F.col("storage").between(1, 13))

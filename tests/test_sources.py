@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 from shelfmark.operators import chunks as K
-from shelfmark.sources import containers, sinks
+from shelfmark.sources import containers, sinks, volumes
 from shelfmark.streaming import ingest
 
 
@@ -42,7 +42,7 @@ def test_scan(spark, tmp_path):
     blocks = containers.chunks(files.where("kind in ('sectors', '2img')"))
     assert blocks.groupBy("path").count().select("count").distinct().collect()[0][0] == 1
     assert containers.chunks(files.where("kind = 'sectors'"), keep_zero=True).count() == 280
-    for r in containers.prodos_directory(blocks).collect():
+    for r in volumes.prodos_directory(blocks).collect():
         assert (r.name, r.storage, r.file_type, r.key, r.data_len, r.aux_type, r.access) == ("README", 1, 4, 7, 300, 0x2000, 0xC3)
         assert str(r.created) == "1999-02-03 05:06:00"
     got = {(r.path.rsplit("/", 1)[1], r.name): (r.data_len, r.good) for r in containers.members(files).collect()}
@@ -83,3 +83,36 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         rows = spark.read.parquet(table)
         assert rows.count() == rows.select("path").distinct().count() == 6 + more
     assert rows.where(F.col("path").endswith("late.gz")).first().kind == "gzip"
+
+
+def test_volumes(spark, tmp_path):
+    dos = bytearray(35 * 16 * 256)
+    for slot, (track, kind, name) in enumerate([(18, 0x82, "HELLO"), (255, 0, "GONE"), (0, 0, ""), (20, 0x04, "BIN FILE")]):
+        at = (17 * 16 + 15) * 256 + 11 + 35 * slot
+        dos[at : at + 35] = bytes([track, 15, kind]) + bytes(ord(c) | 0x80 for c in name.ljust(30)) + struct.pack("<H", 9 + slot)
+    files = spark.createDataFrame([("d", bytes(dos)), ("short", b"x")], "path string, content binary")
+    got = sorted((r.name, r.kind, r.locked, r.sectors, r.list_track, r.sector) for r in volumes.dos_catalog(files).collect())
+    assert got == [("BIN FILE", 4, False, 12, 20, 15), ("HELLO", 2, True, 9, 18, 15)]
+
+    entries = [struct.pack("<HHH", 0, 6, 0) + b"\x03VOL".ljust(8, b"\0") + struct.pack("<HHHH", 280, 25, 0, 0)]
+    entries[0] = entries[0].ljust(26, b"\0")
+    for i in range(25):
+        name = f"FILE{i}.TEXT".encode()
+        entries.append(struct.pack("<HHH", 6 + i, 8 + i, 3) + bytes([len(name)]) + name.ljust(15, b"\0") + struct.pack("<HH", 100, (85 << 9) + (4 << 4) + 2))
+    image = bytes(1024) + b"".join(entries).ljust(2048, b"\0")
+    blocks = spark.createDataFrame([("p", i, image[512 * i : 512 * i + 512]) for i in range(6)], "path string, chunk int, data binary")
+    rows = {r.slot: r for r in volumes.pascal_directory(blocks).collect()}
+    assert len(rows) == 25 and rows[20].name == "FILE19.TEXT" and rows[20].data_len == 612 and str(rows[20].modified) == "1985-02-04 00:00:00"
+
+    slot = lambda user, name, ext, n: bytes([user]) + name.ljust(8).encode() + ext.ljust(3).encode() + bytes([0, 0, 0, n]) + bytes(16)
+    data = (slot(0, "A", "COM", 128) + slot(0, "A", "COM", 5) + slot(3, "B", "", 1) + bytes([0xE5] * 32)).ljust(512, b"\xe5")
+    cpm = spark.createDataFrame([("c", 24, data)], "path string, chunk int, data binary")
+    assert sorted((r.user, r.name, r.extents, r.records) for r in volumes.cpm_directory(cpm, 24, 1).collect()) == [(0, "A.COM", 2, 133), (3, "B", 1, 1)]
+
+    part = lambda n, start, count, name: (b"PM\0\0" + struct.pack(">III", n, start, count) + name.encode().ljust(32, b"\0") + b"Apple_HFS".ljust(32, b"\0")).ljust(512, b"\0")
+    disk = [b"ER".ljust(512, b"\0"), part(2, 1, 2, "map"), part(2, 3, 4, "data"), *[bytes([i]) * 512 for i in range(3, 9)]]
+    blocks = spark.createDataFrame([("m", i, b) for i, b in enumerate(disk)], "path string, chunk int, data binary")
+    parts = volumes.apple_partitions(blocks)
+    assert sorted((r.part, r.start, r["count"], r.name, r.kind) for r in parts.collect()) == [(1, 1, 2, "map", "Apple_HFS"), (2, 3, 4, "data", "Apple_HFS")]
+    inside = volumes.partition_blocks(blocks, parts.where("part = 2"), 4).collect()
+    assert sorted((r.chunk, r.data[0]) for r in inside) == [(0, 3), (1, 4), (2, 5), (3, 6)]
