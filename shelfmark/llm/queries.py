@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, sql
 from .decontam import contamination
 from .langid import identify
 from .lattice import score
-from .licenses import scan
+from .licenses import TEMPLATES, scan
 from .packing import pack
 from .passages import passages
 from .quality import verdicts
@@ -55,7 +56,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(_table(spark, sf_dir, "documents"))
+    return scan(_table(spark, sf_dir, "documents")).groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.QUALITY, "op4_benchmark_decontamination": sql.CONTAMINATION, "op7_chat_formatting": sql.CHAT}
+    return {"op2_quality_rules": sql.QUALITY, "op4_benchmark_decontamination": sql.CONTAMINATION, "op7_chat_formatting": sql.CHAT, "op9_license_scan": sql.licenses(TEMPLATES)}

@@ -79,3 +79,20 @@ g AS (
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
 FROM g
 """
+
+
+def licenses(templates: dict[str, str]) -> str:
+    """(doc_id, license, containment) for these templates, by all five-word shingles."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in templates.items())
+    words = lambda c: f"regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH t AS (SELECT name, {words('body')} AS ws FROM (VALUES {values}) AS v(name, body)),
+ts AS (SELECT DISTINCT name, len(ws) AS m, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT name, ws, unnest(range(1, len(ws) - 3)) AS i FROM t WHERE len(ws) >= 5)),
+size AS (SELECT name, count(*) AS n FROM ts GROUP BY name),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS ws FROM documents),
+ds AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),
+h AS (SELECT r, doc_id, name, m, i, g FROM ds JOIN ts USING (g)),
+b AS (SELECT a.doc_id, a.name, a.r, a.i, count(DISTINCT b.g) AS got FROM h a JOIN h b ON a.r = b.r AND a.name = b.name AND b.i BETWEEN a.i AND a.i + a.m + a.m // 4 - 5 GROUP BY ALL)
+SELECT doc_id, name AS license, max(got / n) AS containment FROM b JOIN size USING (name) GROUP BY doc_id, name HAVING max(got / n) >= 0.8
+"""
