@@ -24,8 +24,10 @@ from . import textops as X
 
 CAPACITY = 4096
 END = 1
-#: Words whose token ids a worker keeps; beyond it the store is emptied and refilled.
-STORE = 500_000
+#: Words whose token ids a worker keeps, about 40 bytes each; beyond it the store is
+#: emptied and refilled.  Longest word that is kept, and how many words the small tier
+#: takes in before it is merged into the large one.
+STORE, LONGEST, LATEST = 1_500_000, 64, 60_000
 #: Parts in which the pieces of one length are numbered.
 PARTS = 64
 _stores: dict[str, tuple] = {}
@@ -44,7 +46,8 @@ def _one_pretoken(w: str) -> bool:
 
 class WordTokens:
     """Token ids of words.  The tokenizer splits at white space, so a text's ids are those
-    of its words; ids of words seen before are kept."""
+    of its words.  Ids of words seen before are kept in flat arrays, found by a 64-bit hash
+    of the word; words of over LONGEST bytes are not kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,49 +56,97 @@ class WordTokens:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.ids: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.ids) > STORE:
-            self.ids.clear()
-        one, two, rest = [], [], []
-        for w in words:
-            s = w.decode()
-            if _one_pretoken(s):
-                one.append((w, s))
-            elif s[-1] in ".,;:" and _one_pretoken(s[:-1]):
-                two.append((w, s))
-            else:
-                rest.append((w, s))
-        # Simple words are encoded by the hundred, and told apart by the tokens that end
-        # a run of letters or of signs.
-        for group, runs in ((one, 1), (two, 2)):
-            parts = [group[i : i + 256] for i in range(0, len(group), 256)]
-            for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(s for _, s in p) for p in parts], add_special_tokens=False), strict=True):
+        self.clear()
+
+    def clear(self) -> None:
+        #: (hash, place, number of ids), sorted by hash: those of long ago and the latest.
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.tiers = [empty, empty]
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word.  Simple words are encoded by the hundred, and told apart by the
+        tokens that end a run of letters or of signs."""
+        out: list[np.ndarray | None] = [None] * len(words)
+        texts = [w.decode() for w in words]
+        groups: dict[int, list[int]] = {1: [], 2: [], 0: []}
+        for i, s in enumerate(texts):
+            groups[1 if _one_pretoken(s) else 2 if s[-1] in ".,;:" and _one_pretoken(s[:-1]) else 0].append(i)
+        for runs in (1, 2):
+            parts = [groups[runs][i : i + 256] for i in range(0, len(groups[runs]), 256)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in p) for p in parts], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
                 stop = np.flatnonzero(self.ends[ids])[runs - 1 :: runs] + 1
                 if len(stop) != len(part):
-                    rest.extend(part)
+                    groups[0].extend(part)
                     continue
-                raw, at = ids.tobytes(), 0
-                for (w, _), b in zip(part, (4 * stop).tolist(), strict=True):
-                    self.ids[w] = raw[at:b]
+                at = 0
+                for i, b in zip(part, stop.tolist(), strict=True):
+                    out[i] = ids[at:b]
                     at = b
-        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([s for _, s in rest], add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
+        for i, e in zip(groups[0], self.tokenizer.encode_batch_fast([texts[i] for i in groups[0]], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4")
+        return out
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number of ids) of hashes; the number is -1 where a word is not kept."""
+        place, n = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
+        for keys, places, sizes in self.tiers:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                place[hit], n[hit] = places[at[hit]], sizes[at[hit]]
+        return place, n
+
+    def _keep(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
+        n = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(n.sum())
+        if self.used + total > len(self.flat):
+            grown = np.zeros(max(2 * len(self.flat), self.used + total), "<u4")
+            grown[: self.used] = self.flat[: self.used]
+            self.flat = grown
+        self.flat[self.used : self.used + total] = np.concatenate([*ids, np.zeros(0, "<u4")])
+        place = self.used + np.cumsum(n) - n
+        self.used += total
+        order = np.argsort(h)
+        tier = (h[order], place[order].astype(np.int64), n[order])
+        merge = lambda old, new: tuple(np.insert(a, np.searchsorted(old[0], new[0]), b) for a, b in zip(old, new, strict=True))
+        self.tiers[1] = merge(self.tiers[1], tier)
+        if len(self.tiers[1][0]) > LATEST:
+            self.tiers = [merge(self.tiers[0], self.tiers[1]), tuple(x[:0] for x in tier)]
 
     def texts(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids, little-endian in 32 bits."""
         out: list[bytes] = []
         for a, b in X.chunks(texts):
-            split = [(t or b"").split() for t in texts[a:b]]
-            if len(self.ids) > STORE:
-                self.ids.clear()
-            new = list({w for ws in split for w in ws}.difference(self.ids.keys())) if not self.ids else list({w for ws in split for w in ws if w not in self.ids})
-            if new:
-                self.learn(new)
-            get = self.ids.__getitem__
-            out.extend(b"".join(map(get, ws)) for ws in split)
+            start, end, h, counts = X.hashed_words(texts[a:b], X.PLAIN)
+            joined = b" ".join(t or b"" for t in texts[a:b])
+            if len(self.tiers[0][0]) > STORE:
+                self.clear()
+            some, first, back = np.unique(h, return_index=True, return_inverse=True)
+            long = end[first] - start[first] > LONGEST
+            place, n = self._find(some)
+            new = np.flatnonzero((n < 0) & ~long)
+            if len(new):
+                self._keep(some[new], self._encode([joined[start[i] : end[i]] for i in first[new].tolist()]))
+                place[new], n[new] = self._find(some[new])
+            n[long] = 0
+            lengths = n[back]
+            upto = np.cumsum(lengths)
+            ids = self.flat[np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(upto - lengths, lengths) + np.repeat(place[back], lengths)]
+            if long.any():
+                # Rare words of over LONGEST bytes are put in where they stand.
+                at = np.flatnonzero(end - start > LONGEST)
+                more = self._encode([joined[start[i] : end[i]] for i in at.tolist()])
+                ids = np.insert(ids, np.repeat(upto[at], [len(m) for m in more]), np.concatenate(more))
+                lengths = lengths.copy()
+                lengths[at] = [len(m) for m in more]
+                upto = np.cumsum(lengths)
+            stop = np.concatenate([[0], upto])[np.cumsum(counts)]
+            raw, begin = ids.astype("<u4").tobytes(), 0
+            for e in (4 * stop).tolist():
+                out.append(raw[begin:e])
+                begin = e
         return out
 
 
