@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import written
+from .textops import forget, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -42,5 +42,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if mark == seen or not mark.n:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = mark
-        now = written(_small_star(_large_star(now)), "edges")
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        forget(before)
     raise RuntimeError(f"components did not settle within {most} rounds")

@@ -69,7 +69,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shelfmark_path = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Drop a table of written() that no later step reads."""
+    _drop(table.sparkSession, table._shelfmark_path)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
