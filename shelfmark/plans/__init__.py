@@ -1 +1,5 @@
 """Registered queries: operators applied to the given tables."""
+
+from . import commands, registry
+
+__all__ = ["commands", "registry"]

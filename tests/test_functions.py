@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from shelfmark.functions import bits, charsets, dates, formats, paths
+from shelfmark.functions import bits, charsets, dates, formats, names, paths
 
 
 def value(spark, column, **inputs):
@@ -103,3 +103,19 @@ def test_charsets(spark):
     assert value(spark, charsets.high_ascii(F.col("d")), d=b"\xc8\xe9") == "Hi"
     assert value(spark, charsets.length_prefixed(F.col("d")), d=b"\x02abc") == "ab"
     assert value(spark, charsets.four_characters(F.col("x")), x=0x54455854) == "TEXT"
+
+
+@pytest.mark.parametrize("rule", list(names.RULES))
+@pytest.mark.parametrize("name", ["A", "", "1abc", "a b:c,d", "x" * 40, "\x01", "é", "ok.name"])
+def test_adjusted_names_are_valid(spark, rule, name):
+    made = value(spark, names.adjusted(F.col("n"), rule), n=name)
+    assert value(spark, names.valid(F.col("n"), rule), n=made), (rule, name, made)
+    if value(spark, names.valid(F.col("n"), rule), n=name):
+        assert made == name
+
+
+def test_case_bits(spark):
+    shown = "Hello wOrld 12"
+    bits_ = value(spark, names.case_bits(F.col("n")), n=shown)
+    assert value(spark, names.cased(F.col("n"), F.col("b")), n=shown.upper().replace(" ", "."), b=bits_) == shown
+    assert value(spark, names.cased(F.col("n"), F.col("b")), n="A.B", b=0) == "A.B"
