@@ -37,7 +37,7 @@ RATIOS = (
     ("mean_word", "word_chars", "n_words", 4.0),
 )
 _SYMBOL = np.zeros(256, bool)
-_SYMBOL[list(b"[#*$%&|<>]")] = True
+_SYMBOL[list(b"#*$%&|<>")] = True
 
 
 def text_counts(texts: list[bytes | None]) -> np.ndarray:

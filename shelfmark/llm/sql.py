@@ -12,7 +12,7 @@ l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 k AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 m AS (
   SELECT doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
-    length(regexp_replace(text, '[^\[#*$%&|<>\]]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, greatest(coalesce(n_lines, 0), 1) AS n_lines
   FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)),
 v AS (
