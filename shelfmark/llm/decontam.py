@@ -241,7 +241,7 @@ def with_hits(docs: DataFrame, bench: DataFrame, name: str, block_bytes: int = B
         return run
 
     for i, items in enumerate(_blocks(bench, block_bytes)):
-        docs = docs.mapInArrow(searching(items, i > 0), out)
+        docs = docs.mapInArrow(X.tidy(searching(items, i > 0)), out)
     return docs
 
 
@@ -306,4 +306,4 @@ def remove_benchmark(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK
                 cols[i] = pa.array([len(t.decode()) if s else o for t, s, o in zip(new, spans, cols[i].to_pylist(), strict=True)], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
 
-    return hit.mapInArrow(run, docs.schema)
+    return hit.mapInArrow(X.tidy(run), docs.schema)

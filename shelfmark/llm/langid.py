@@ -87,7 +87,7 @@ def train(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
         yield from out()
 
     slim = docs.where("lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = slim.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = slim.mapInArrow(X.tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = W.Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < profile).select("lang", "gram", "rank")
 
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, profiles: DataFrame, profile: int = PROFILE, block:
                 keep = [c for c in batch.schema.names if c not in ("lang_pred", "score")]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(X.tidy(run), out.schema)
     return out.select(*[f.name for f in schema], "lang_pred", "score")
 
 

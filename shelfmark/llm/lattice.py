@@ -121,7 +121,7 @@ def _asked(dealt: DataFrame) -> DataFrame:
                 part = words[a : a + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket, np.int32)), pa.array([w.decode() for w in part], pa.string()), pa.array(n[a : a + len(part)])], names=["bucket", "word", "n"])
 
-    return dealt.mapInArrow(run, "bucket int, word string, n long")
+    return dealt.mapInArrow(X.tidy(run), "bucket int, word string, n long")
 
 
 def piece_counts(vocabulary: DataFrame, path: str) -> dict[int, int]:
@@ -138,7 +138,7 @@ def piece_counts(vocabulary: DataFrame, path: str) -> dict[int, int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "n"])
 
-    counted = vocabulary.where("c > 0").select("word", "c").mapInArrow(run, "piece int, n long")
+    counted = vocabulary.where("c > 0").select("word", "c").mapInArrow(X.tidy(run), "piece int, n long")
     return {r.piece: r.n for r in counted.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -170,7 +170,7 @@ def score(docs: DataFrame, vocabulary: str | None = None, bucket_bytes: int | No
             p = np.fromiter(map(lattice.word, batch.column("word").to_pylist()), np.float64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=["word", "c", "buckets", "p"])
 
-    answers = words.mapInArrow(scored, "word string, c long, buckets array<int>, p double").select(F.explode("buckets").alias("bucket"), "word", "c", "p")
+    answers = words.mapInArrow(X.tidy(scored), "word string, c long, buckets array<int>, p double").select(F.explode("buckets").alias("bucket"), "word", "c", "p")
     end_base, end_model = log10((ends + 1) / (tokens + distinct + 1)), Lattice(path, pieces, ends).end / log(10)
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:

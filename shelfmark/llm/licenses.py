@@ -147,4 +147,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
             yield pa.RecordBatch.from_arrays([ids, pa.array([known.names[r[1]] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64())], names=["doc_id", "license", "start", "end", "containment"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, license string, start long, end long, containment double")
+    return slim.mapInArrow(X.tidy(run), "doc_id long, license string, start long, end long, containment double")

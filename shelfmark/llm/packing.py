@@ -187,7 +187,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
+    return slim.mapInArrow(X.tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def fullest(lengths: list[tuple[int, int]], room: int) -> list[int]:
@@ -275,4 +275,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     names = [c for c in rows.columns if c != "ids"]
     slim = numbered.select(*names, *["ids"] * ids, (F.col("n") - 1 + F.col("first")).alias("n"))
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids + ", sequence_id long, offset long"
-    return slim.mapInArrow(place, kind)
+    return slim.mapInArrow(X.tidy(place), kind)

@@ -89,7 +89,7 @@ def with_counts(docs: DataFrame, name: str) -> DataFrame:
             struct = pa.StructArray.from_arrays([pa.array(got[:, i]) for i in range(len(COUNTS))], names=list(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
+    return docs.mapInArrow(X.tidy(run), T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:

@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fp = np.concatenate(out) if out else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(X.tidy(run), "doc_id long, fp long")
 
 
 def segment_counts(fp: F.Column) -> F.Column:
@@ -155,7 +155,7 @@ def links(nodes: DataFrame, window: int = WINDOW) -> DataFrame:
     count = segment_counts(F.col("fp"))
     grids = F.array(*[F.struct(F.lit(i).alias("grid"), count.bitwiseAND(F.lit(_signed(m))).alias("cell")) for i, m in enumerate(_grid_masks(6, 4))])
     dealt = nodes.select("fp", "rep", F.explode(grids).alias("k")).select("fp", "rep", "k.grid", "k.cell").repartition(int(n), "grid", "cell").sortWithinPartitions("grid", "cell", "fp")
-    found = X.written(dealt.mapInArrow(lambda it: compare_cells(it, ["fp"], ["grid", "cell"], "rep", 2, window), "a long, b long"), "simhash-links")
+    found = X.written(dealt.mapInArrow(X.tidy(lambda it: compare_cells(it, ["fp"], ["grid", "cell"], "rep", 2, window)), "a long, b long"), "simhash-links")
     near = found.where("b is not null")
     hot = found.where("b is null").select(F.col("a").alias("rep")).distinct().join(nodes, "rep")
     if found.where("b is null").isEmpty():
@@ -213,7 +213,7 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(f[:, i]).view(np.int64)) for i in range(LANES))], names=["doc_id", *(f"f{i}" for i in range(LANES))])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"f{i} long" for i in range(LANES)))
+    return slim.mapInArrow(X.tidy(run), "doc_id long, " + ", ".join(f"f{i} long" for i in range(LANES)))
 
 
 def _sampled_grids(bits: int) -> list[tuple[int, ...]]:
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, window: int = WINDOW)
     dealt = nodes.where("rep is not null").select(*names, "rep", F.explode(listed).alias("k")).select(*names, "rep", F.xxhash64("k.grid", cell).alias("cell"))
     many = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = dealt.repartition(many, "cell").sortWithinPartitions("cell", *names)
-    found = components(met.mapInArrow(lambda it: compare_cells(it, names, ["cell"], "rep", radius, window, False), "a long, b long"))
+    found = components(met.mapInArrow(X.tidy(lambda it: compare_cells(it, names, ["cell"], "rep", radius, window, False)), "a long, b long"))
     classes = nodes.join(found, nodes.rep == found.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, names).select("doc_id", "component_id")
 

@@ -7,9 +7,11 @@ about a megabyte of text at once, so that no step pays a Python call for each wo
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text and rows that JVM and Python workers exchange at once.
-BATCH_BYTES, BATCH_ROWS = 16 << 20, 4000
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -79,6 +81,24 @@ def forget(table: DataFrame) -> None:
     _drop(table.sparkSession, table._shelfmark_path)
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """run, giving memory back to the system as it ends: workers live on, and what one
+    stage held would else count against the next."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of each text."""
     return column.cast(pa.large_binary()).to_pylist()
