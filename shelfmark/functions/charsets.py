@@ -1,34 +1,47 @@
-"""Byte strings of old machines as text, on built-in expressions.
+"""Byte strings of old machines as text.
 
-A byte is read as Latin-1, which is total and reversible, and the upper half is then
-translated to the character set's own.
+The character sets are Python codecs, applied to Arrow batches: Spark's own encode and
+decode know other sets, and translate is a hash lookup for each character.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _HALF = bytes(range(128, 256)).decode("latin-1")
 
 
-def _upper(codec: str) -> str:
-    return bytes(range(128, 256)).decode(codec)
-
-
 def decoded(data: Column, codec: str = "mac_roman") -> Column:
     """Text of bytes in mac_roman or cp437."""
-    return F.translate(F.decode(data, "ISO-8859-1"), _HALF, _upper(codec))
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda b: None if b is None else bytes(b).decode(codec))
+
+    return run(data)
 
 
 def encoded(text: Column, codec: str = "mac_roman") -> Column:
     """Inverse of decoded(); characters that the set lacks become `?`."""
-    clean = F.regexp_replace(text, f"[^\\x00-\\x7f{_upper(codec)}]", "?")
-    return F.encode(F.translate(clean, _upper(codec), _HALF), "ISO-8859-1")
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: None if t is None else t.encode(codec, "replace"))
+
+    return run(text)
 
 
 def encodable(text: Column, codec: str = "mac_roman") -> Column:
-    return ~text.rlike(f"[^\\x00-\\x7f{_upper(codec)}]")
+    """Whether the set has all characters."""
+    table = dict.fromkeys(map(ord, bytes(range(256)).decode(codec)))
+
+    @F.pandas_udf("boolean")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: None if t is None else not t.translate(table))
+
+    return run(text)
 
 
 def high_ascii(data: Column) -> Column:

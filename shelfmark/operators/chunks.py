@@ -83,9 +83,9 @@ def hex_rows(rows: DataFrame, key: str, data: Column, width: int = 16) -> DataFr
 
 def records(rows: DataFrame, key: str, text: Column, length: int) -> DataFrame:
     """(key, record, value): texts cut into records of a fixed length."""
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / length).cast("int"))).alias("record")
-    cut = rows.where(F.length(text) > 0).select(key, text.alias("_t"), at)
-    return cut.select(key, "record", F.substring("_t", F.col("record") * length + 1, F.lit(length)).alias("value"))
+    # One pass over each text, where substring would count from its start for each record.
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{length}}}"), F.lit(0))
+    return rows.select(key, F.posexplode(parts).alias("record", "value"))
 
 
 # Physical place of each logical sector of a track, by order.
