@@ -90,12 +90,12 @@ def _byte_counts(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp.view(np.uint8)).reshape(len(fp), -1).astype(np.int8)
 
 
-def compare_cells(batches: Iterator[pa.RecordBatch], bits: list[str], cell: list[str], node: str, radius: int, window: int, full: bool = True) -> Iterator[pa.RecordBatch]:
+def compare_cells(batches: Iterator[pa.RecordBatch], bits: list[str], cell: list[str], node: str, radius: int, window: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by cell.  Compares every two rows of a cell that are under window
     places apart; of those that differ in at most radius bits, gives links (a, b) that
     hang together what they hang together, each group on its least node.  Also gives
-    (a, null) for every row of a cell with over window rows, if full is to be told.  Only
-    the last window rows are kept between batches."""
+    (a, null) for every row of a cell with over window rows.  Only the last window rows are
+    kept between batches."""
     kept: pa.Table | None = None
     rank0 = 0
     for batch in batches:
@@ -140,7 +140,7 @@ def compare_cells(batches: Iterator[pa.RecordBatch], bits: list[str], cell: list
             np.minimum.at(top, left, least)
             np.minimum.at(top, right, least)
         hung = np.flatnonzero(top != who)
-        hot = who[big[run]] if full else who[:0]
+        hot = who[big[run]]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([top[hung], hot]).astype(np.int64)), pa.array(np.concatenate([who[hung], hot]).astype(np.int64), mask=np.arange(len(hung) + len(hot)) >= len(hung))], names=["a", "b"])
         keep = min(window, int(rank[-1]) + 1, n)
         rank0 = int(rank[-1]) + 1 - keep
@@ -187,6 +187,8 @@ def near_duplicate_classes(docs: DataFrame, words: int = 3, window: int = WINDOW
 #: the differing bits up to which documents are linked.  Two sets of shingles with a
 #: Jaccard similarity of J differ in about 256 * acos(2J / (1 + J)) / pi bits, 38 at 0.8.
 LANES, SHINGLE, RADIUS = 4, 5, 38
+#: Rows of a wide cell that one task compares all with all.
+BLOCK = 16384
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
@@ -229,7 +231,152 @@ def _sampled_grids(bits: int) -> list[tuple[int, ...]]:
     return out
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, window: int = WINDOW) -> DataFrame:
+def _hang(top: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """top, the first place of every place's group, with the groups of left and right joined."""
+    a, b = top[left], top[right]
+    on = np.arange(len(top))
+    while True:
+        low = np.minimum(on[a], on[b])
+        if (on[a] == low).all() and (on[b] == low).all():
+            return on[top]
+        np.minimum.at(on, a, low)
+        np.minimum.at(on, b, low)
+
+
+def _all_pairs(fp: np.ndarray, top: np.ndarray, radius: int, split: int | None = None) -> np.ndarray:
+    """top after comparing all rows with all, or those before split with those from it on.
+    Rows known to hang together are not compared again."""
+    n = len(fp)
+    size = np.bincount(top, minlength=n)[top]
+    order = np.lexsort((top, -size))
+    rows, cols = (order, order) if split is None else (order[order < split], order[order >= split])
+    lanes = [np.ascontiguousarray(fp[:, i]) for i in range(fp.shape[1])]
+    tall, wide = 128, 1024
+    for i in range(0, len(rows), tall):
+        r = rows[i : i + tall]
+        for j in range(i if split is None else 0, len(cols), wide):
+            c = cols[j : j + wide]
+            if (top[r] == top[r[0]]).all() and (top[c] == top[r[0]]).all():
+                continue
+            apart = np.zeros((len(r), len(c)), np.uint16)
+            for at, lane in enumerate(lanes):
+                apart += np.bitwise_count(lane[r][:, None] ^ lane[c][None, :])
+                if at == 1 and not (apart <= radius).any():
+                    break
+            left, right = np.nonzero(apart <= radius)
+            left, right = r[left], c[right]
+            new = top[left] != top[right]
+            if new.any():
+                top = _hang(top, left[new], right[new])
+    return top
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows, sorted by key, in tables that part no key."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.asarray(batch.column(key))
+        cut = int(np.searchsorted(k, k[-1]))
+        if cut or (kept and kept[-1].column(key)[-1].as_py() != k[-1]):
+            kept.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(kept)
+            kept = []
+        kept.append(batch.slice(cut))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _wide(table: pa.Table) -> np.ndarray:
+    return np.stack([np.asarray(table.column(f"f{i}")).astype(np.int64) for i in range(LANES)], axis=1).view(np.uint64)
+
+
+_FOUND = "a long, b long, pair long, side int, " + ", ".join(f"f{i} long" for i in range(LANES))
+
+
+def _found(a: np.ndarray, b: np.ndarray, pair: np.ndarray | None = None, side: np.ndarray | None = None, fp: np.ndarray | None = None) -> pa.RecordBatch:
+    """A batch of links (a, b), or of rows b, in group a, that a pair of blocks holds."""
+    none = lambda t: pa.nulls(len(a), t)
+    f = [none(pa.int64()) if fp is None else pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(LANES)]
+    cols = [pa.array(a), pa.array(b), none(pa.int64()) if pair is None else pa.array(pair), none(pa.int32()) if side is None else pa.array(side.astype(np.int32)), *f]
+    return pa.RecordBatch.from_arrays(cols, names=["a", "b", "pair", "side", *(f"f{i}" for i in range(LANES))])
+
+
+def compare_wide_cells(batches: Iterator[pa.RecordBatch], radius: int, window: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, rep, f0..f3) come sorted by cell, then f0..f3.  Compares every two rows
+    of a cell: neighbours first, which mostly finds large groups, then the rest.  A cell
+    of over block rows is cut into blocks, groups together, and its pairs of blocks are
+    given out as rows, but for those that lie in one group."""
+    for table in _whole_groups(batches, "cell"):
+        cell, who, fp = np.asarray(table.column("cell")), np.asarray(table.column("rep")), _wide(table)
+        n = len(cell)
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        size = np.diff(np.append(first, n))
+        rank = np.arange(n) - np.repeat(first, size)
+        a, b = [], []
+        right = np.arange(n)
+        for d in range(1, window):
+            right = right[rank[right] >= d]
+            if not len(right):
+                break
+            near = np.bitwise_count(fp[right - d] ^ fp[right]).sum(1) <= radius
+            a.append(right[near] - d)
+            b.append(right[near])
+        top = _hang(np.arange(n), *(np.concatenate([*x, []]).astype(np.int64) for x in (a, b)))
+        for at, m in zip(first[size > window].tolist(), size[size > window].tolist(), strict=True):
+            if m <= block:
+                top[at : at + m] = _all_pairs(fp[at : at + m], top[at : at + m] - at, radius) + at
+                continue
+            mine = top[at : at + m]
+            order = at + np.lexsort((mine, -np.bincount(mine - at, minlength=m)[mine - at]))
+            parts = [order[i : i + block] for i in range(0, m, block)]
+            one = [int(top[p[0]]) if (top[p] == top[p[0]]).all() else -1 - i for i, p in enumerate(parts)]
+            for i in range(len(parts)):
+                for j in range(i, len(parts)):
+                    if one[i] == one[j] >= 0:
+                        continue
+                    rows = parts[i] if i == j else np.concatenate([parts[i], parts[j]])
+                    pair = X.mix(cell[at : at + 1].view(np.uint64) ^ X.mix(np.array([i << 32 | j], np.uint64))).view(np.int64)
+                    yield _found(who[top[rows]], who[rows], np.repeat(pair, len(rows)), np.arange(len(rows)) >= len(parts[i]), fp[rows])
+        hung = np.flatnonzero(top != np.arange(n))
+        yield _found(who[top[hung]], who[hung])
+
+
+def compare_blocks(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between the two sides of every pair of blocks, or within its only one.
+    Rows come sorted by pair, then side."""
+    for table in _whole_groups(batches, "pair"):
+        pair, side, who, fp = np.asarray(table.column("pair")), np.asarray(table.column("side")), np.asarray(table.column("b")), _wide(table)
+        _, top = np.unique(np.asarray(table.column("a")), return_inverse=True)
+        edge = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]]))
+        for at, to in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            _, place, group = np.unique(top[at:to], return_index=True, return_inverse=True)
+            split = int(np.searchsorted(side[at:to], 1))
+            got = _all_pairs(fp[at:to], place[group], radius, split if split < to - at else None)
+            hung = np.flatnonzero(got != np.arange(to - at))
+            yield pa.RecordBatch.from_arrays([pa.array(who[at:to][got[hung]]), pa.array(who[at:to][hung])], names=["a", "b"])
+
+
+def wide_links(nodes: DataFrame, radius: int = RADIUS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """nodes: (f0..f3, rep), fingerprints unique.  Links (a, b) of reps whose components
+    are those of all pairs within the radius that meet in a grid."""
+    names = [f"f{i}" for i in range(LANES)]
+    grids = _sampled_grids(max(16, int(nodes.count()).bit_length()))
+    many = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = F.array(*[F.struct(F.lit(g[0]).alias("grid"), *[F.lit(m).alias(f"m{i}") for i, m in enumerate(g[1:])]) for g in grids])
+    cell = F.xxhash64(*[F.col(c).bitwiseAND(F.col(f"k.m{i}")) for i, c in enumerate(names)])
+    dealt = nodes.where("rep is not null").select(*names, "rep", F.explode(listed).alias("k")).select(*names, "rep", F.xxhash64("k.grid", cell).alias("cell"))
+    met = dealt.repartition(many, "cell").sortWithinPartitions("cell", *names)
+    found = X.written(met.mapInArrow(X.tidy(lambda it: compare_wide_cells(it, radius, window, block)), _FOUND), "wide-links")
+    near, blocks = found.where("pair is null").select("a", "b"), found.where("pair is not null")
+    if blocks.isEmpty():
+        return near.distinct()
+    paired = blocks.repartition(many, "pair").sortWithinPartitions("pair", "side").mapInArrow(X.tidy(lambda it: compare_blocks(it, radius)), "a long, b long")
+    return near.unionByName(paired).distinct()
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) of every row: near duplicates by five-word shingles at a
     similarity of about 0.8 or more, as the wide fingerprints tell it.
 
@@ -237,22 +384,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, window: int = WINDOW)
     bit counts of log2(n) segments of one bit, n being the number of distinct
     fingerprints, so that a cell has about one stranger at any size.  Fingerprints that
     differ in 29 bits (similarity 0.88) meet in one of the grids with a chance of 0.99 or
-    more, those at the radius of about 0.9.  In a cell of over `window` rows each row is
-    compared with its neighbours in sorted order; the grids order and part such groups
-    each in another way.  Equal fingerprints always share a component.
+    more, those at the radius of about 0.9.  All rows of a cell are compared,
+    those of a cell of over `block` rows by pairs of blocks, so this takes time with the
+    square of the largest cells, but for groups that hang together already.  Equal
+    fingerprints always share a component.
     """
     names = [f"f{i}" for i in range(LANES)]
     fps = X.written(wide_fingerprints(docs), "wide-fingerprints")
     nodes = X.written(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")), "wide-nodes")
-    n = nodes.count()
-    grids = _sampled_grids(max(16, int(n).bit_length()))
-    spark = docs.sparkSession
-    listed = F.array(*[F.struct(F.lit(g[0]).alias("grid"), *[F.lit(m).alias(f"m{i}") for i, m in enumerate(g[1:])]) for g in grids])
-    cell = F.xxhash64(*[F.col(c).bitwiseAND(F.col(f"k.m{i}")) for i, c in enumerate(names)])
-    dealt = nodes.where("rep is not null").select(*names, "rep", F.explode(listed).alias("k")).select(*names, "rep", F.xxhash64("k.grid", cell).alias("cell"))
-    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.repartition(many, "cell").sortWithinPartitions("cell", *names)
-    found = components(met.mapInArrow(X.tidy(lambda it: compare_cells(it, names, ["cell"], "rep", radius, window, False)), "a long, b long"))
+    found = components(wide_links(nodes, radius, window, block))
     classes = nodes.join(found, nodes.rep == found.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, names).select("doc_id", "component_id")
 

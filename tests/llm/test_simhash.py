@@ -132,3 +132,30 @@ def test_full_cells_of_near_copies_hold_together(spark):
         rows.append((i, " ".join(copy)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.component_id for r in S.near_duplicates(df, window=8).collect()} == {0}
+
+
+@pytest.mark.parametrize("block", [None, 200])
+def test_hot_source_loses_no_near_copy(spark, monkeypatch, block):
+    """Fingerprints some 54 bits apart fill cells; a near copy with another first bit lies
+    far off in sorted order."""
+    rnd = random.Random(3)
+    base, rows, kin = rnd.getrandbits(256), [], []
+    for i in range(1500):
+        x = base ^ sum(1 << b for b in rnd.sample(range(255), 30))
+        rows.append((2 * i, x))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, x ^ (1 << 255) ^ sum(1 << b for b in rnd.sample(range(255), 9))))
+            kin.append((2 * i, 2 * i + 1))
+    cut = lambda x: [S._signed(x >> 64 * (3 - i) & (1 << 64) - 1) for i in range(4)]
+    df = spark.createDataFrame([(d, *cut(x)) for d, x in rows], "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    monkeypatch.setattr(S, "wide_fingerprints", lambda docs: docs)
+    more = {} if block is None else {"block": block}
+    at = {r.doc_id: r.component_id for r in S.near_duplicates(df, window=2, **more).collect()}
+    near = {(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[:i] if (x ^ y).bit_count() <= S.RADIUS}
+    assert len(near) >= len(kin) and all(at[a] == at[b] for a, b in kin)
+    same = {}
+    for d, c in at.items():
+        same.setdefault(c, []).append(d)
+    known = S._hang(S.np.arange(3000), *(S.np.array(p) for p in zip(*near, strict=True)))
+    assert all(len({known[d] for d in g}) == 1 for g in same.values())
+    assert sum(at[a] == at[b] for a, b in near) >= 0.97 * len(near)
