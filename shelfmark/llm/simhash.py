@@ -17,6 +17,7 @@ same components as all links would.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -187,8 +188,9 @@ def near_duplicate_classes(docs: DataFrame, words: int = 3, window: int = WINDOW
 #: the differing bits up to which documents are linked.  Two sets of shingles with a
 #: Jaccard similarity of J differ in about 256 * acos(2J / (1 + J)) / pi bits, 38 at 0.8.
 LANES, SHINGLE, RADIUS = 4, 5, 38
-#: Rows of a wide cell that one task compares all with all.
-BLOCK = 16384
+#: Least chance that fingerprints at the radius meet in a grid, and the rows of a wide
+#: cell that one task compares all with all.
+MEETING, BLOCK = 0.99, 16384
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
@@ -218,12 +220,13 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(X.tidy(run), "doc_id long, " + ", ".join(f"f{i} long" for i in range(LANES)))
 
 
-def _sampled_grids(bits: int) -> list[tuple[int, ...]]:
-    """Grids of so many one-bit segments each, as a mask for each lane.  Two in five
-    more grids than bits keep the chance to meet as the corpus, and so bits, grows."""
+def _sampled_grids(bits: int, radius: int) -> list[tuple[int, ...]]:
+    """Grids of so many one-bit segments each, as a mask for each lane: as many as two
+    fingerprints at the radius need to meet in one with a chance of MEETING."""
+    meet = math.prod(max(0, 64 * LANES - radius - i) / (64 * LANES - i) for i in range(bits))
     rnd = np.random.default_rng(20)
     out = []
-    for g in range(int(2.5 * bits)):
+    for g in range(math.ceil(math.log(1 - MEETING) / math.log1p(-min(meet, MEETING)))):
         mask = [0] * LANES
         for i in rnd.choice(64 * LANES, bits, replace=False).tolist():
             mask[i // 64] |= 1 << i % 64
@@ -362,7 +365,7 @@ def wide_links(nodes: DataFrame, radius: int = RADIUS, window: int = WINDOW, blo
     """nodes: (f0..f3, rep), fingerprints unique.  Links (a, b) of reps whose components
     are those of all pairs within the radius that meet in a grid."""
     names = [f"f{i}" for i in range(LANES)]
-    grids = _sampled_grids(max(16, int(nodes.count()).bit_length()))
+    grids = _sampled_grids(max(16, int(nodes.count()).bit_length() - 7), radius)
     many = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listed = F.array(*[F.struct(F.lit(g[0]).alias("grid"), *[F.lit(m).alias(f"m{i}") for i, m in enumerate(g[1:])]) for g in grids])
     cell = F.xxhash64(*[F.col(c).bitwiseAND(F.col(f"k.m{i}")) for i, c in enumerate(names)])
@@ -381,10 +384,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, window: int = WINDOW,
     similarity of about 0.8 or more, as the wide fingerprints tell it.
 
     At so wide a radius no choice of groups must agree, so grids are drawn: each has the
-    bit counts of log2(n) segments of one bit, n being the number of distinct
-    fingerprints, so that a cell has about one stranger at any size.  Fingerprints that
-    differ in 29 bits (similarity 0.88) meet in one of the grids with a chance of 0.99 or
-    more, those at the radius of about 0.9.  All rows of a cell are compared,
+    bit counts of segments of one bit, 16 at least and one more with each doubling from
+    2**23 distinct fingerprints on, so that a cell has some 128 strangers at most.  There are
+    as many grids as fingerprints at the radius need to meet in one with a chance of
+    MEETING, at any size; nearer ones meet more surely.  All rows of a cell are compared,
     those of a cell of over `block` rows by pairs of blocks, so this takes time with the
     square of the largest cells, but for groups that hang together already.  Equal
     fingerprints always share a component.

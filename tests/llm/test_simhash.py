@@ -159,3 +159,14 @@ def test_hot_source_loses_no_near_copy(spark, monkeypatch, block):
     known = S._hang(S.np.arange(3000), *(S.np.array(p) for p in zip(*near, strict=True)))
     assert all(len({known[d] for d in g}) == 1 for g in same.values())
     assert sum(at[a] == at[b] for a, b in near) >= 0.97 * len(near)
+
+
+@pytest.mark.parametrize("bits", [16, 17, 19, 24])
+def test_grids_meet_at_the_radius(bits):
+    grids = [[b for i, m in enumerate(g[1:]) for b in range(64) if m >> b & 1 for b in [64 * i + b]] for g in S._sampled_grids(bits, S.RADIUS)]
+    rnd = random.Random(bits)
+    met = 0
+    for _ in range(400):
+        apart = set(rnd.sample(range(256), S.RADIUS))
+        met += any(apart.isdisjoint(g) for g in grids)
+    assert met >= 0.97 * 400
