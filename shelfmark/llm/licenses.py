@@ -1,8 +1,10 @@
 """License notices in documents, by MinHash bands over windows, verified exactly.
 
 Templates and documents are cut into five-word shingles.  A template of m shingles
-belongs to the scale w, the largest power of two that m reaches; documents get a window
-of w shingles every w/4 (every shingle where w is under 4), templates one at every place.
+belongs to the scale w, the largest power of two that m reaches; a document gets a window
+of w shingles every w/4 from its first shingle on (every shingle where w is under 4), one
+that ends at its last, and one of all its shingles if these are fewer; templates get one
+at every place.
 A window is sketched by BANDS minima, each a band of one row.  An untouched notice lies at
 most w/8 off some window of its own scale, so the two share a Jaccard similarity of 7/9 at
 least and meet in a band with a probability over 1 - (2/9)**8, that is 0.999994; a window
@@ -83,19 +85,27 @@ class Templates:
             return set()
         owner = np.repeat(np.arange(len(texts)), counts)
         first = (np.cumsum(counts) - counts)[owner]
+        edge = np.flatnonzero(np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]]))
+        has = np.diff(np.append(edge, len(sh)))
+        rank, left = np.arange(len(sh)) - np.repeat(edge, has), np.repeat(edge + has, has) - np.arange(len(sh))
         out: set[tuple[int, int, int]] = set()
+
+        def meet(scale: dict, place: np.ndarray, mine: np.ndarray) -> None:
+            for b, values in enumerate(scale["bands"]):
+                for i in np.flatnonzero(scale["filter"][b][mine[b] & np.uint32(0xFFFF)]):
+                    for t in values.get(int(mine[b, i]), ()):
+                        word = at[place[i]]
+                        out.add((int(owner[word]), int(word - first[word]), t))
+
         now, size = minima(sh), 1
+        whole = np.minimum.reduceat(now, edge, axis=1)
+        for n, scale in self.scales.items():
+            meet(scale, edge[has < n], whole[:, has < n])
         while True:
             if size in self.scales:
-                scale, stride = self.scales[size], max(1, size // 4)
-                place = np.arange(0, now.shape[1], stride)
-                place = place[at[place + size - 1] - at[place] == size - 1]
-                for b, values in enumerate(scale["bands"]):
-                    mine = now[b][place]
-                    for i in np.flatnonzero(scale["filter"][b][mine & np.uint32(0xFFFF)]):
-                        for t in values.get(int(mine[i]), ()):
-                            word = at[place[i]]
-                            out.add((int(owner[word]), int(word - first[word]), t))
+                stride = max(1, size // 4)
+                place = np.flatnonzero(((rank % stride == 0) & (left >= size)) | (left == size))
+                meet(self.scales[size], place, now[:, place])
             if 2 * size > max(self.scales, default=0) or now.shape[1] <= size:
                 return out
             now = np.minimum(now[:, :-size], now[:, size:])

@@ -57,3 +57,18 @@ def test_nothing_but_what_containment_says(spark):
             if any(len({grams[j] for j in hit if i <= j <= i + size - 5}) >= 0.8 * len(shingles) for i in hit):
                 want.add((d, name))
     assert got == want
+
+
+def test_texts_that_are_only_a_notice(spark):
+    """At every place of the chunk, with few words around, or cut short."""
+    docs, want = [], set()
+    for i, name in enumerate(NAMES):
+        for pad in range(17):
+            d = len(docs)
+            docs += [(d, " ".join(f"pad{i}x{j}" for j in range(5 + pad))), (d + 1, L.TEMPLATES[name]), (d + 2, f"one {L.TEMPLATES[name]} two")]
+            want |= {(d + 1, name), (d + 2, name)}
+            if len(L.words_of(L.TEMPLATES[name].encode())) > 60:
+                docs.append((d + 3, L.TEMPLATES[name].rsplit(" ", 8)[0]))
+                want.add((d + 3, name))
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert want <= {(r.doc_id, r.license) for r in L.scan(df).collect()}
