@@ -12,18 +12,29 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+#: Tasks over which the neighbours of one node are spread.
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with m of their node a.  A star's centre has a row for every node of it, so rows
+    are salted and least, which has one row a node, is repeated for each salt."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    return salted.join(least.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))), ["a", "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node is linked to the least of its neighbours."""
     both = _both(edges)
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("x"), "m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both.where("b > a"), least).select(F.col("b").alias("x"), "m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour, and the node itself, is linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(down, least).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

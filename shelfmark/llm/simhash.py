@@ -3,10 +3,11 @@
 A fingerprint is mapped to the bit counts of its segments.  Two fingerprints that
 differ in r bits have count vectors at a Manhattan distance of r at most, so a range
 join on the counts loses no link.  The join deals fingerprints into grid cells:
-segments form six groups, and as two bits touch two groups at most, any two linked
-fingerprints agree on the counts of at least four groups.  There is a grid for each
-choice of four groups, its cells being the counts of these.  In a cell, fingerprints
-are compared in sorted order: counts first, then bits.
+segments of two bits form six groups of coordinates.  Vectors at a Manhattan distance of
+two differ in two coordinates at most, so in two groups at most: the range join at this
+radius is an equality join on four groups, once for each choice of four.  A grid is such
+a choice, its cells being the counts of these groups.  In a cell the Manhattan distance
+on all coordinates is tested first, then the bits.
 
 A cell of over WINDOW fingerprints is not compared all with all.  Its members go to an
 exact linear way: each sends itself and its 64 neighbours at one bit; any two that send
@@ -87,8 +88,17 @@ def _grid_masks(groups: int, equal: int) -> list[int]:
     return [reduce(int.__or__, (mask[i] for i in c)) for c in combinations(range(groups), equal)]
 
 
-def _byte_counts(fp: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp.view(np.uint8)).reshape(len(fp), -1).astype(np.int8)
+def _embedded(fp: np.ndarray) -> np.ndarray:
+    """segment_counts() of an array."""
+    low, high = fp & np.uint64(_FIVES), (fp >> np.uint64(1)) & np.uint64(_FIVES)
+    return ((low & high) << np.uint64(1)) | (low ^ high)
+
+
+def _manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The Manhattan distance of segment counts.  Counts are 0 to 2, so two of them differ
+    by two where their bits differ in the higher one alone."""
+    t = x ^ y
+    return np.bitwise_count(t & np.uint64(_FIVES)) + 2 * np.bitwise_count((t >> np.uint64(1)) & ~t & np.uint64(_FIVES))
 
 
 def compare_cells(batches: Iterator[pa.RecordBatch], bits: list[str], cell: list[str], node: str, radius: int, window: int) -> Iterator[pa.RecordBatch]:
@@ -120,14 +130,14 @@ def compare_cells(batches: Iterator[pa.RecordBatch], bits: list[str], cell: list
         big = np.zeros(len(first), bool)
         big[run[rank >= window]] = True
         a, b = [], []
-        counts = _byte_counts(np.ascontiguousarray(fp))
+        counts = _embedded(fp)
         for d in range(1, min(window, n)):
             right = np.arange(max(old, d), n)
             right = right[rank[right] >= d]
             if not len(right):
                 break
             left = right - d
-            near = np.abs(counts[left] - counts[right]).sum(1) <= radius
+            near = _manhattan(counts[left], counts[right]).sum(1) <= radius
             left, right = left[near], right[near]
             exact = np.bitwise_count(fp[left] ^ fp[right]).sum(1) <= radius
             a.append(left[exact])
@@ -185,17 +195,45 @@ def near_duplicate_classes(docs: DataFrame, words: int = 3, window: int = WINDOW
 
 
 #: The wide fingerprint of near_duplicates(): words of 64 bits, words in a shingle, and
-#: the differing bits up to which documents are linked.  Two sets of shingles with a
-#: Jaccard similarity of J differ in about 256 * acos(2J / (1 + J)) / pi bits, 38 at 0.8.
-LANES, SHINGLE, RADIUS = 4, 5, 38
-#: Least chance that fingerprints at the radius meet in a grid, and the rows of a wide
-#: cell that one task compares all with all.
-MEETING, BLOCK = 0.99, 16384
+#: the least Jaccard similarity of near duplicates.  Sets with a similarity of J differ in
+#: about 256 * acos(2J / (1 + J)) / pi bits: 39 at 0.8, with a standard deviation of 6.
+LANES, SHINGLE, SIMILARITY = 4, 5, 0.8
+#: Differing bits up to which shingles are compared (19 of 20 pairs at 0.8 are within), and
+#: those up to which there is hardly any pair under 0.8.
+RADIUS, SURE = 48, 20
+#: Grids are drawn until fingerprints at MEETS differing bits, the usual number at a
+#: similarity of 0.8, meet in one with a chance of MEETING.
+MEETS, MEETING = 38, 0.99
+#: Rows of a wide cell that one task compares all with all, and rows hanging together in a
+#: cell up to which all their pairs are candidates (beyond, those of a spanning forest).
+BLOCK, FEW = 16384, 8
+_F = [f"f{i}" for i in range(LANES)]
+
+
+def _sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number for each text) of five-word shingles of the lower-cased texts; fewer
+    words make one, no words none."""
+    _, _, h, counts = X.hashed_words(texts, X.PLAIN_LOWER)
+    sh, at = X.shingles(h, counts, SHINGLE)
+    n = np.bincount(np.repeat(np.arange(len(texts)), counts)[at], minlength=len(texts))
+    short = np.flatnonzero((counts > 0) & (n == 0))
+    if len(short):
+        first = np.cumsum(counts) - counts
+        one = np.array([X.mix(np.array([int(sum((i + 1) * int(x) for i, x in enumerate(h[first[i] : first[i] + counts[i]]))) % (1 << 64)], np.uint64))[0] for i in short], np.uint64)
+        sh = np.insert(sh, (np.cumsum(n) - n)[short], one)
+        n[short] = 1
+    return sh, n
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, text): version tells apart texts that share a doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0..f3): 256 bits, each 1 if in over half of the hashes of the lower-cased
-    text's five-word shingles (fewer words make one; no words, all zero)."""
+    """(doc_id, version, f0..f3): 256 bits, each 1 if in over half of the hashes of the
+    text's shingles (no words: all zero)."""
     X.bounded_batches(docs.sparkSession)
     lanes = X.mix(np.arange(11, 11 + LANES, dtype=np.uint64))
 
@@ -204,26 +242,18 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
             texts = X.as_bytes(batch.column("text"))
             out = [np.zeros((0, LANES), np.uint64)]
             for a, b in X.chunks(texts):
-                _, _, h, counts = X.hashed_words(texts[a:b], X.PLAIN_LOWER)
-                sh, at = X.shingles(h, counts, SHINGLE)
-                n = np.bincount(np.repeat(np.arange(b - a), counts)[at], minlength=b - a)
-                short = np.flatnonzero((counts > 0) & (n == 0))
-                first = np.cumsum(counts) - counts
-                one = np.array([X.mix(np.array([int(sum((i + 1) * int(x) for i, x in enumerate(h[first[i] : first[i] + counts[i]]))) % (1 << 64)], np.uint64))[0] for i in short], np.uint64)
-                sh = np.insert(sh, (np.cumsum(n) - n)[short], one) if len(short) else sh
-                n[short] = 1
+                sh, n = _sets(texts[a:b])
                 out.append(np.stack([X.majority(X.mix(sh ^ lane), n) for lane in lanes], axis=1))
             f = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(f[:, i]).view(np.int64)) for i in range(LANES))], names=["doc_id", *(f"f{i}" for i in range(LANES))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *(pa.array(np.ascontiguousarray(f[:, i]).view(np.int64)) for i in range(LANES))], names=["doc_id", "version", *_F])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(X.tidy(run), "doc_id long, " + ", ".join(f"f{i} long" for i in range(LANES)))
+    return _keyed(docs).mapInArrow(X.tidy(run), "doc_id long, version long, " + ", ".join(f"{c} long" for c in _F))
 
 
-def _sampled_grids(bits: int, radius: int) -> list[tuple[int, ...]]:
+def _sampled_grids(bits: int) -> list[tuple[int, ...]]:
     """Grids of so many one-bit segments each, as a mask for each lane: as many as two
-    fingerprints at the radius need to meet in one with a chance of MEETING."""
-    meet = math.prod(max(0, 64 * LANES - radius - i) / (64 * LANES - i) for i in range(bits))
+    fingerprints at MEETS bits need to meet in one with a chance of MEETING."""
+    meet = math.prod(max(0, 64 * LANES - MEETS - i) / (64 * LANES - i) for i in range(bits))
     rnd = np.random.default_rng(20)
     out = []
     for g in range(math.ceil(math.log(1 - MEETING) / math.log1p(-min(meet, MEETING)))):
@@ -246,15 +276,42 @@ def _hang(top: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         np.minimum.at(on, b, low)
 
 
-def _all_pairs(fp: np.ndarray, top: np.ndarray, radius: int, split: int | None = None) -> np.ndarray:
-    """top after comparing all rows with all, or those before split with those from it on.
-    Rows known to hang together are not compared again."""
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+_NONE: Pairs = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def candidates(n: int, pairs: Pairs) -> Pairs:
+    """Those of the pairs (left, right, distance) of n places to be verified.  Of places that
+    hang together by pairs, up to FEW keep all pairs; more keep a minimum spanning forest,
+    in which any two meet over steps no longer than their own distance."""
+    order = np.lexsort((pairs[1], pairs[0], pairs[2]))
+    left, right, apart = (x[order] for x in pairs)
+    top, taken, live = np.arange(n), np.zeros(len(left), bool), np.arange(len(left))
+    while len(live):
+        a, b = top[left[live]], top[right[live]]
+        cross = a != b
+        live, a, b = live[cross], a[cross], b[cross]
+        if not len(live):
+            break
+        best = np.full(n, len(left))
+        np.minimum.at(best, a, live)
+        np.minimum.at(best, b, live)
+        new = np.unique(best[best < len(left)])
+        taken[new] = True
+        top = _hang(top, left[new], right[new])
+    taken |= np.bincount(top, minlength=n)[top][left] <= FEW
+    return left[taken], right[taken], apart[taken]
+
+
+def _all_pairs(fp: np.ndarray, top: np.ndarray, radius: int, split: int | None = None) -> Pairs:
+    """candidates() of all pairs of rows, or of those of one row before split and one from
+    it on.  top has groups of rows that surely hang together; their pairs are not looked
+    at, nor those of groups that are found on the way."""
     n = len(fp)
-    size = np.bincount(top, minlength=n)[top]
-    order = np.lexsort((top, -size))
+    order = np.lexsort((top, -np.bincount(top, minlength=n)[top]))
     rows, cols = (order, order) if split is None else (order[order < split], order[order >= split])
     lanes = [np.ascontiguousarray(fp[:, i]) for i in range(fp.shape[1])]
-    tall, wide = 128, 1024
+    tall, wide, held = 128, 1024, [_NONE]
     for i in range(0, len(rows), tall):
         r = rows[i : i + tall]
         for j in range(i if split is None else 0, len(cols), wide):
@@ -266,12 +323,16 @@ def _all_pairs(fp: np.ndarray, top: np.ndarray, radius: int, split: int | None =
                 apart += np.bitwise_count(lane[r][:, None] ^ lane[c][None, :])
                 if at == 1 and not (apart <= radius).any():
                     break
-            left, right = np.nonzero(apart <= radius)
-            left, right = r[left], c[right]
-            new = top[left] != top[right]
-            if new.any():
-                top = _hang(top, left[new], right[new])
-    return top
+            near = (apart <= radius) & (top[r][:, None] != top[c][None, :])
+            left, right = np.nonzero(near)
+            if not len(left):
+                continue
+            held.append((r[left], c[right], apart[near].astype(np.int64)))
+            sure = held[-1][2] <= SURE
+            top = _hang(top, held[-1][0][sure], held[-1][1][sure])
+            if sum(len(h[0]) for h in held) > 1 << 18:
+                held = [candidates(n, tuple(np.concatenate(x) for x in zip(*held, strict=True)))]
+    return candidates(n, tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -292,44 +353,47 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
 
 
 def _wide(table: pa.Table) -> np.ndarray:
-    return np.stack([np.asarray(table.column(f"f{i}")).astype(np.int64) for i in range(LANES)], axis=1).view(np.uint64)
+    return np.stack([np.asarray(table.column(c)).astype(np.int64) for c in _F], axis=1).view(np.uint64)
 
 
-_FOUND = "a long, b long, pair long, side int, " + ", ".join(f"f{i} long" for i in range(LANES))
+_FOUND = "a long, b long, pair long, side int, " + ", ".join(f"{c} long" for c in _F)
 
 
 def _found(a: np.ndarray, b: np.ndarray, pair: np.ndarray | None = None, side: np.ndarray | None = None, fp: np.ndarray | None = None) -> pa.RecordBatch:
-    """A batch of links (a, b), or of rows b, in group a, that a pair of blocks holds."""
+    """A batch of candidates (a, b), or of rows b, in group a, that a pair of blocks holds."""
     none = lambda t: pa.nulls(len(a), t)
     f = [none(pa.int64()) if fp is None else pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(LANES)]
     cols = [pa.array(a), pa.array(b), none(pa.int64()) if pair is None else pa.array(pair), none(pa.int32()) if side is None else pa.array(side.astype(np.int32)), *f]
-    return pa.RecordBatch.from_arrays(cols, names=["a", "b", "pair", "side", *(f"f{i}" for i in range(LANES))])
+    return pa.RecordBatch.from_arrays(cols, names=["a", "b", "pair", "side", *_F])
 
 
 def compare_wide_cells(batches: Iterator[pa.RecordBatch], radius: int, window: int, block: int) -> Iterator[pa.RecordBatch]:
     """Rows (cell, rep, f0..f3) come sorted by cell, then f0..f3.  Compares every two rows
-    of a cell: neighbours first, which mostly finds large groups, then the rest.  A cell
-    of over block rows is cut into blocks, groups together, and its pairs of blocks are
-    given out as rows, but for those that lie in one group."""
+    of a cell.  A cell of over window rows is compared tile by tile, after its neighbours
+    in order have told which surely hang together.  One of over block rows is cut into
+    blocks, groups together, and its pairs of blocks are given out as rows, but for those
+    that lie in one group."""
     for table in _whole_groups(batches, "cell"):
         cell, who, fp = np.asarray(table.column("cell")), np.asarray(table.column("rep")), _wide(table)
         n = len(cell)
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         size = np.diff(np.append(first, n))
-        rank = np.arange(n) - np.repeat(first, size)
-        a, b = [], []
-        right = np.arange(n)
+        rank, large = np.arange(n) - np.repeat(first, size), np.repeat(size > window, size)
+        held, right = [_NONE], np.arange(n)
         for d in range(1, window):
             right = right[rank[right] >= d]
             if not len(right):
                 break
-            near = np.bitwise_count(fp[right - d] ^ fp[right]).sum(1) <= radius
-            a.append(right[near] - d)
-            b.append(right[near])
-        top = _hang(np.arange(n), *(np.concatenate([*x, []]).astype(np.int64) for x in (a, b)))
+            apart = np.bitwise_count(fp[right - d] ^ fp[right]).sum(1).astype(np.int64)
+            near = apart <= np.where(large[right], SURE, radius)
+            held.append((right[near] - d, right[near], apart[near]))
+        held = [candidates(n, tuple(np.concatenate(x) for x in zip(*held, strict=True)))]
+        at_large = large[held[0][0]]
+        top = _hang(np.arange(n), held[0][0][at_large], held[0][1][at_large])
         for at, m in zip(first[size > window].tolist(), size[size > window].tolist(), strict=True):
             if m <= block:
-                top[at : at + m] = _all_pairs(fp[at : at + m], top[at : at + m] - at, radius) + at
+                left, right, apart = _all_pairs(fp[at : at + m], top[at : at + m] - at, radius)
+                held.append((left + at, right + at, apart))
                 continue
             mine = top[at : at + m]
             order = at + np.lexsort((mine, -np.bincount(mine - at, minlength=m)[mine - at]))
@@ -342,13 +406,13 @@ def compare_wide_cells(batches: Iterator[pa.RecordBatch], radius: int, window: i
                     rows = parts[i] if i == j else np.concatenate([parts[i], parts[j]])
                     pair = X.mix(cell[at : at + 1].view(np.uint64) ^ X.mix(np.array([i << 32 | j], np.uint64))).view(np.int64)
                     yield _found(who[top[rows]], who[rows], np.repeat(pair, len(rows)), np.arange(len(rows)) >= len(parts[i]), fp[rows])
-        hung = np.flatnonzero(top != np.arange(n))
-        yield _found(who[top[hung]], who[hung])
+        left, right, _ = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield _found(who[left], who[right])
 
 
 def compare_blocks(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between the two sides of every pair of blocks, or within its only one.
-    Rows come sorted by pair, then side."""
+    """Candidates (a, b) between the two sides of every pair of blocks, or within its only
+    one.  Rows come sorted by pair, then side."""
     for table in _whole_groups(batches, "pair"):
         pair, side, who, fp = np.asarray(table.column("pair")), np.asarray(table.column("side")), np.asarray(table.column("b")), _wide(table)
         _, top = np.unique(np.asarray(table.column("a")), return_inverse=True)
@@ -356,58 +420,108 @@ def compare_blocks(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[p
         for at, to in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             _, place, group = np.unique(top[at:to], return_index=True, return_inverse=True)
             split = int(np.searchsorted(side[at:to], 1))
-            got = _all_pairs(fp[at:to], place[group], radius, split if split < to - at else None)
-            hung = np.flatnonzero(got != np.arange(to - at))
-            yield pa.RecordBatch.from_arrays([pa.array(who[at:to][got[hung]]), pa.array(who[at:to][hung])], names=["a", "b"])
+            left, right, _ = _all_pairs(fp[at:to], place[group], radius, split if split < to - at else None)
+            yield pa.RecordBatch.from_arrays([pa.array(who[at:to][left]), pa.array(who[at:to][right])], names=["a", "b"])
 
 
 def wide_links(nodes: DataFrame, radius: int = RADIUS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """nodes: (f0..f3, rep), fingerprints unique.  Links (a, b) of reps whose components
-    are those of all pairs within the radius that meet in a grid."""
-    names = [f"f{i}" for i in range(LANES)]
-    grids = _sampled_grids(max(16, int(nodes.count()).bit_length() - 7), radius)
+    """nodes: (f0..f3, rep), fingerprints unique.  Candidates (a, b), a under b: of all pairs
+    of reps within the radius that meet in a grid, those that candidates() keeps."""
+    grids = _sampled_grids(max(16, int(nodes.count()).bit_length() - 7))
     many = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listed = F.array(*[F.struct(F.lit(g[0]).alias("grid"), *[F.lit(m).alias(f"m{i}") for i, m in enumerate(g[1:])]) for g in grids])
-    cell = F.xxhash64(*[F.col(c).bitwiseAND(F.col(f"k.m{i}")) for i, c in enumerate(names)])
-    dealt = nodes.where("rep is not null").select(*names, "rep", F.explode(listed).alias("k")).select(*names, "rep", F.xxhash64("k.grid", cell).alias("cell"))
-    met = dealt.repartition(many, "cell").sortWithinPartitions("cell", *names)
+    cell = F.xxhash64(*[F.col(c).bitwiseAND(F.col(f"k.m{i}")) for i, c in enumerate(_F)])
+    dealt = nodes.select(*_F, "rep", F.explode(listed).alias("k")).select(*_F, "rep", F.xxhash64("k.grid", cell).alias("cell"))
+    met = dealt.repartition(many, "cell").sortWithinPartitions("cell", *_F)
     found = X.written(met.mapInArrow(X.tidy(lambda it: compare_wide_cells(it, radius, window, block)), _FOUND), "wide-links")
     near, blocks = found.where("pair is null").select("a", "b"), found.where("pair is not null")
-    if blocks.isEmpty():
-        return near.distinct()
-    paired = blocks.repartition(many, "pair").sortWithinPartitions("pair", "side").mapInArrow(X.tidy(lambda it: compare_blocks(it, radius)), "a long, b long")
-    return near.unionByName(paired).distinct()
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) of every row: near duplicates by five-word shingles at a
-    similarity of about 0.8 or more, as the wide fingerprints tell it.
-
-    At so wide a radius no choice of groups must agree, so grids are drawn: each has the
-    bit counts of segments of one bit, 16 at least and one more with each doubling from
-    2**23 distinct fingerprints on, so that a cell has some 128 strangers at most.  There are
-    as many grids as fingerprints at the radius need to meet in one with a chance of
-    MEETING, at any size; nearer ones meet more surely.  All rows of a cell are compared,
-    those of a cell of over `block` rows by pairs of blocks, so this takes time with the
-    square of the largest cells, but for groups that hang together already.  Equal
-    fingerprints always share a component.
-    """
-    names = [f"f{i}" for i in range(LANES)]
+    if not blocks.isEmpty():
+        paired = blocks.repartition(many, "pair").sortWithinPartitions("pair", "side").mapInArrow(X.tidy(lambda it: compare_blocks(it, radius)), "a long, b long")
+        near = near.unionByName(paired)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes (rep, doc_id, version) whose texts' shingle sets have that
+    Jaccard similarity.  Each text in a pair is read once, by a join on its document."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(nodes.select("rep", "doc_id", "version"), "rep")
+    texts = _keyed(docs).join(need, ["doc_id", "version"]).select("rep", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, texts = batch.column("rep"), X.as_bytes(batch.column("text"))
+            for a, b in X.chunks(texts):
+                sh, n = _sets(texts[a:b])
+                own = [np.unique(x).view(np.int64) for x in np.split(sh, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([rep.slice(a, b - a), pa.array(own, pa.list_(pa.int64()))], names=["rep", "words"])
+
+    known = X.written(texts.mapInArrow(X.tidy(sets), "rep long, words array<long>").dropDuplicates(["rep"]), "shingles")
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (batch.column(c) for c in ("p", "q"))
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = np.asarray(p[i].values), np.asarray(q[i].values)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both >= similarity * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    left = pairs.join(known.select(F.col("rep").alias("a"), F.col("words").alias("p")), "a")
+    return left.join(known.select(F.col("rep").alias("b"), F.col("words").alias("q")), "b").select("a", "b", "p", "q").mapInArrow(X.tidy(same), "a long, b long")
+
+
+def _classes(docs: DataFrame, similarity: float, radius: int, window: int, block: int) -> DataFrame:
+    """(doc_id, version, keep) of every row: keep is the least (doc_id, version) of its class,
+    null in a class of null ids alone."""
     fps = X.written(wide_fingerprints(docs), "wide-fingerprints")
-    nodes = X.written(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")), "wide-nodes")
-    found = components(wide_links(nodes, radius, window, block))
-    classes = nodes.join(found, nodes.rep == found.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, names).select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each class of near duplicates, the one with the least
-    doc_id; all columns as they were.  Of rows that repeat a doc_id one stays.  Rows
-    with a null doc_id can't be told apart, so they stay."""
-    classes = X.written(near_duplicates(docs, radius), "near-classes")
-    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    ids = classes.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if ids.n == ids.d:
+    grouped = fps.where("doc_id is not null").groupBy(*_F).agg(F.min(F.struct("doc_id", "version")).alias("own"))
+    nodes = X.written(grouped.select(F.monotonically_increasing_id().alias("rep"), *_F, "own.doc_id", "own.version"), "wide-nodes")
+    pairs = X.written(wide_links(nodes, radius, window, block), "wide-pairs")
+    found = X.written(components(verified(docs, nodes, pairs, similarity)), "wide-components")
+    least = found.join(nodes, found.node == nodes.rep).groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("keep"))
+    of_node = nodes.join(found.join(least, "component"), nodes.rep == F.col("node"), "left").select(*_F, F.coalesce("keep", F.struct("doc_id", "version")).alias("keep"))
+    return fps.join(of_node, _F, "left").select("doc_id", "version", "keep")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) of every row: near duplicates, by the Jaccard similarity of
+    five-word shingles, hang together; component_id is the least doc_id.
+
+    At a similarity of 0.8 no choice of groups of bits must agree, so grids are drawn: each
+    has the bit counts of segments of one bit, 16 at least and one more with each doubling
+    from 2**23 distinct fingerprints on, so that a cell has some 128 strangers at most.
+    There are as many grids as fingerprints at the usual distance need to meet in one with
+    a chance of MEETING, at any size; nearer ones meet more surely.  All rows of a cell are
+    compared, those of a cell of over `block` rows by pairs of blocks, so this takes time
+    with the square of the largest cells, but for groups that surely hang together.  Pairs
+    within the radius are verified on their shingle sets.
+
+    Equal fingerprints always share a class; so do all texts without words, null or empty.
+    Fewer than five words make one shingle.  Rows that share a doc_id are told apart by
+    their texts.  A row with a null id takes the class of its fingerprint, a null one where
+    all ids are null.  Ties go to the least doc_id.  Other columns are ignored; an empty
+    table gives no rows.
+    """
+    return _classes(docs, similarity, radius, window, block).select("doc_id", F.col("keep.doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each class of near_duplicates(), all columns as they were: the
+    least doc_id's (of texts that share it, the one with the least hash; of rows that repeat
+    id and text, the least by the other columns).  A null or empty text is a text without
+    words, so one such row stays.  Rows with a null doc_id are of no class here: they stay.
+    An empty table gives no rows; columns of any name and type pass through."""
+    classes = X.written(_classes(docs, similarity, RADIUS, WINDOW, BLOCK), "near-classes")
+    mine = classes.where("doc_id is not null")
+    gone = mine.where("doc_id != keep.doc_id or version != keep.version").select(F.col("doc_id").alias("_gone"), F.col("version").alias("_version")).distinct()
+    at = [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]
+    kept = docs.join(gone, (at[0] == F.col("_gone")) & (at[1] == F.col("_version")), "left_anti")
+    repeated = mine.where("doc_id = keep.doc_id and version = keep.version").groupBy("doc_id", "version").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"), F.col("version").alias("_version"))
+    if repeated.isEmpty():
         return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    twice = X.written(repeated, "near-repeats")
+    on = (at[0] == F.col("_twice")) & (at[1] == F.col("_version"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = kept.join(twice, on).groupBy("_twice", "_version").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return kept.join(twice, on, "left_anti").unionByName(least)

@@ -122,6 +122,14 @@ def test_keep_one_nulls_short_repeats(spark):
     assert S.keep_one(df.limit(0)).collect() == []
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    rows = [(9, "one two three four five six", 1), (9, "quite another text of some words", 2), (9, "quite another text of some words", 3), (10, "quite another text of some words", 0), (11, "One two three four five six", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep int")
+    want = [(9, rows[0][1], 1), (9, rows[1][1], 2)]
+    for order in (df, df.orderBy(S.F.desc("keep"))):
+        assert sorted(tuple(r) for r in S.keep_one(order).collect()) == want
+
+
 def test_full_cells_of_near_copies_hold_together(spark):
     rnd = random.Random(1)
     base = [f"w{rnd.randrange(5000)}" for _ in range(600)]
@@ -134,39 +142,93 @@ def test_full_cells_of_near_copies_hold_together(spark):
     assert {r.component_id for r in S.near_duplicates(df, window=8).collect()} == {0}
 
 
-@pytest.mark.parametrize("block", [None, 200])
-def test_hot_source_loses_no_near_copy(spark, monkeypatch, block):
+def groups(n, pairs):
+    return S._hang(S.np.arange(n), *(S.np.array(p) for p in zip(*pairs, strict=True))).tolist()
+
+
+@pytest.mark.parametrize("block", [S.BLOCK, 200])
+def test_hot_source_loses_no_near_copy(spark, block):
     """Fingerprints some 54 bits apart fill cells; a near copy with another first bit lies
     far off in sorted order."""
     rnd = random.Random(3)
     base, rows, kin = rnd.getrandbits(256), [], []
     for i in range(1500):
         x = base ^ sum(1 << b for b in rnd.sample(range(255), 30))
-        rows.append((2 * i, x))
+        rows.append(x)
         if i % 10 == 0:
-            rows.append((2 * i + 1, x ^ (1 << 255) ^ sum(1 << b for b in rnd.sample(range(255), 9))))
-            kin.append((2 * i, 2 * i + 1))
+            rows.append(x ^ (1 << 255) ^ sum(1 << b for b in rnd.sample(range(255), 9)))
+            kin.append((len(rows) - 2, len(rows) - 1))
     cut = lambda x: [S._signed(x >> 64 * (3 - i) & (1 << 64) - 1) for i in range(4)]
-    df = spark.createDataFrame([(d, *cut(x)) for d, x in rows], "doc_id long, f0 long, f1 long, f2 long, f3 long")
-    monkeypatch.setattr(S, "wide_fingerprints", lambda docs: docs)
-    more = {} if block is None else {"block": block}
-    at = {r.doc_id: r.component_id for r in S.near_duplicates(df, window=2, **more).collect()}
-    near = {(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[:i] if (x ^ y).bit_count() <= S.RADIUS}
-    assert len(near) >= len(kin) and all(at[a] == at[b] for a, b in kin)
-    same = {}
-    for d, c in at.items():
-        same.setdefault(c, []).append(d)
-    known = S._hang(S.np.arange(3000), *(S.np.array(p) for p in zip(*near, strict=True)))
-    assert all(len({known[d] for d in g}) == 1 for g in same.values())
-    assert sum(at[a] == at[b] for a, b in near) >= 0.97 * len(near)
+    df = spark.createDataFrame([(*cut(x), d) for d, x in enumerate(rows)], "f0 long, f1 long, f2 long, f3 long, rep long")
+    found = {(r.a, r.b) for r in S.wide_links(df, 38, 2, block).collect()}
+    near = {(a, b) for b, y in enumerate(rows) for a, x in enumerate(rows[:b]) if (x ^ y).bit_count() <= 38}
+    assert len(near) >= len(kin) and found <= near
+    got = groups(len(rows), found)
+    assert all(got[a] == got[b] for a, b in kin) and sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
+
+
+def test_candidates_hang_together_what_all_pairs_do():
+    rnd = random.Random(2)
+    for n in (4, 9, 40):
+        pairs = sorted({tuple(sorted(rnd.sample(range(n), 2))) for _ in range(2 * n)})
+        apart = [rnd.randrange(5) for _ in pairs]
+        left, right, d = S.candidates(n, tuple(S.np.array(x) for x in (*zip(*pairs, strict=True), apart)))
+        kept = set(zip(left.tolist(), right.tolist(), strict=True))
+        assert groups(n, kept) == groups(n, pairs) and (n > S.FEW or len(kept) == len(pairs))
+        for most in range(5):  # at every distance
+            under = [p for p, a in zip(pairs, apart, strict=True) if a <= most]
+            mine = [p for p, a in zip(zip(left.tolist(), right.tolist(), strict=True), d.tolist(), strict=True) if a <= most]
+            assert not under or groups(n, mine) == groups(n, under)
+
+
+def test_recall_and_precision_by_similarity(spark):
+    """Against all pairs, with a hot source of templated texts that are alike but mostly not
+    near copies, so that cells hold far more than WINDOW rows."""
+    rnd = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    template = [rnd.choice(vocabulary) for _ in range(240)]
+    for i in range(500):
+        texts.append([*template[:200], *(rnd.choice(vocabulary) for _ in range(70)), *template[200:]])
+    for i in range(500):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.choice([60, 150, 400]))]
+        if i % 5 == 0:
+            base = list(texts[i])
+        texts.append(base)
+        for share in (0.004, 0.012, 0.019, 0.03):
+            copy = list(base)
+            for _ in range(max(1, round(share * len(base)))):
+                copy[rnd.randrange(len(copy))] = f"edited{rnd.randrange(10**6)}"
+            texts.append(copy)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    both = S.np.zeros((len(sets), len(sets)), S.np.int16)
+    for h in holders.values():
+        if len(h) > 1:
+            both[S.np.ix_(h, h)] += 1
+    size = S.np.array(list(map(len, sets)))
+    j = both / (size[:, None] + size[None, :] - both)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    at = {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()}
+    got = S.np.array([at[d] for d in range(len(texts))])
+    same = got[:, None] == got[None, :]
+    upper = S.np.triu(S.np.ones_like(same), 1)
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        pairs = upper & (j >= low) & (j < high)
+        assert pairs.sum() > 100 and (same & pairs).sum() >= 0.9 * pairs.sum(), (low, (same & pairs).sum(), pairs.sum())
+    true = S.np.array(groups(len(texts), list(zip(*S.np.nonzero(upper & (j >= 0.8)), strict=True))))
+    assert not (same & (true[:, None] != true[None, :])).any()
 
 
 @pytest.mark.parametrize("bits", [16, 17, 19, 24])
 def test_grids_meet_at_the_radius(bits):
-    grids = [[b for i, m in enumerate(g[1:]) for b in range(64) if m >> b & 1 for b in [64 * i + b]] for g in S._sampled_grids(bits, S.RADIUS)]
+    grids = [[b for i, m in enumerate(g[1:]) for b in range(64) if m >> b & 1 for b in [64 * i + b]] for g in S._sampled_grids(bits)]
     rnd = random.Random(bits)
     met = 0
     for _ in range(400):
-        apart = set(rnd.sample(range(256), S.RADIUS))
+        apart = set(rnd.sample(range(256), S.MEETS))
         met += any(apart.isdisjoint(g) for g in grids)
     assert met >= 0.97 * 400
