@@ -77,21 +77,34 @@ def rendered(messages: DataFrame) -> DataFrame:
 
 
 def read_back(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns): the turns (role, text) that formatted holds."""
+    """conversations (conv_id, formatted, and whatever else) with the turns (role, text) that
+    formatted holds."""
     lines = F.filter(F.split("formatted", r"</s>"), lambda x: x != "")
     part = lambda x, i: unescaped(F.element_at(F.split(x, r"\[TEXT\]", 2), i))
     turns = F.transform(lines, lambda x: F.struct(part(F.substr(x, F.lit(len(TURN) + 1)), 1).alias("role"), part(x, 2).alias("text")))
-    return conversations.select("conv_id", "formatted", turns.alias("turns"))
+    return conversations.withColumn("turns", turns)
+
+
+def learned_text(conversations: DataFrame) -> DataFrame:
+    """conversations (conv_id, formatted, loss_mask, and whatever else) with the text under
+    the mask, unescaped, nothing between its ranges.  An empty or null mask has none."""
+    part = lambda m: unescaped(F.substring(F.col("formatted"), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")))
+    return conversations.withColumn("learned", F.coalesce(F.array_join(F.transform("loss_mask", part), ""), F.lit("")))
 
 
 def digests(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of
     finished conversations, read back from what was rendered.  Extra columns are ignored;
     an empty table gives no rows."""
-    turns = read_back(rendered(folded(as_events(conversations))))
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
+    return digested(rendered(folded(as_events(conversations))))
+
+
+def digested(conversations: DataFrame) -> DataFrame:
+    """The digests of what rendered() gave: turns are read back from formatted, learned text
+    is cut from it by the loss mask."""
+    turns = learned_text(read_back(conversations))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 def with_forged_turn(conversations: DataFrame) -> DataFrame:

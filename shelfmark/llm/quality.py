@@ -2,16 +2,18 @@
 
 Each document gets counts, a fixed base rule, and ratios.  For each language and source
 the ratios of the documents that pass the base rule go into quantile sketches: counts in
-logarithmic buckets, so a quantile is known to one part in a hundred, equal inputs give
-equal sketches in whatever order they come, and sketches merge by adding counts.  A
-sketch of too few documents is merged up: its language's, then everyone's, speaks for
-it.  The quartiles give fences (Tukey's far-out fences), and documents are joined with
-the fences of their language and source.
+logarithmic buckets, so a quantile is known to one part in fifty, equal inputs give equal
+sketches in whatever order they come, and sketches merge by adding counts.  A sketch of
+too few documents is merged up: its language's, then everyone's, speaks for it.  All
+thresholds are quantiles of these sketches.  Ratios that most documents have at zero are
+cut at an upper quantile, so a rule rejects a stated part of a group at most; mean word
+length is fenced on both sides by its quartiles.  Documents are joined with the
+thresholds of their language and source.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +28,17 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: Bucket i of a sketch holds values of GAMMA**(i-1) to GAMMA**i.
 GAMMA = 1.02
 #: A sketch of fewer documents is not trusted on its own.
-LEAST_DOCS = 200
-#: Times the distance of the quartiles that a fence stands off from them.
-REACH = 3.0
-#: (ratio, its numerator, its denominator, the least distance of the fences from the median); mean_word also has a lower fence.
+LEAST_DOCS = 50
+#: (ratio, its numerator, its denominator, thousandths of a group that pass).
 RATIOS = (
-    ("symbols", "n_symbols", "n_words", 0.5),
-    ("repeats", "n_repeat_words", "n_words", 0.3),
-    ("dup_lines", "n_dup_lines", "n_lines", 0.5),
-    ("mean_word", "word_chars", "n_words", 4.0),
+    ("symbols", "n_symbols", "n_words", 950),
+    ("repeats", "n_repeat_words", "n_words", 990),
+    ("dup_lines", "n_dup_lines", "n_lines", 990),
 )
+#: Mean word length, and how many times the distance of its quartiles the fences stand off.
+SHAPE, REACH = ("mean_word", "word_chars", "n_words"), 5.0
+#: The bucket of zero.
+ZERO = -(2**40)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -105,57 +108,60 @@ def _ratio(top: str, under: str) -> Column:
     return F.col(top) / F.greatest(F.col(under), F.lit(1))
 
 
+def _bucket(ratio: Column) -> Column:
+    return F.when(ratio > 0, F.ceil(F.log(ratio) / F.log(F.lit(GAMMA)))).otherwise(F.lit(ZERO))
+
+
 def sketches(counts: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n) of the documents that pass the base rule."""
-    ratios = F.array(*[F.struct(F.lit(r).alias("ratio"), _ratio(top, under).alias("v")) for r, top, under, _ in RATIOS])
-    return (
-        counts.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-        .select("lang", "source", F.explode(ratios).alias("x"))
-        .select("lang", "source", "x.ratio", F.when(F.col("x.v") > 0, F.ceil(F.log(F.col("x.v")) / F.log(F.lit(GAMMA)))).otherwise(-(2**40)).alias("bucket"))
-        .groupBy("lang", "source", "ratio", "bucket")
-        .agg(F.count("*").alias("n"))
-    )
-
-
-def _quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """(*by, ratio, total, q25, q50, q75) of sketches merged by the given columns."""
+    ratios = F.array(*[F.struct(F.lit(r).alias("ratio"), _bucket(_ratio(top, under)).alias("bucket")) for r, top, under, *_ in (*RATIOS, SHAPE)])
+    return counts.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("lang", "source", F.explode(ratios).alias("x")).groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.count("*").alias("n"))
+
+
+def _quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """(*by, ratio, q) of sketches merged by the given columns: q has total and the buckets
+    of the quartiles and of the ratio's upper quantile."""
     merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
     group = W.Window.partitionBy(*by, "ratio")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(group))
-    value = lambda b: F.when(b < -(2**30), 0.0).otherwise(F.pow(F.lit(GAMMA), b) * (2 / (1 + GAMMA)))
-    quartile = lambda q: value(F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket"))))
-    return ranked.groupBy(*by, "ratio").agg(F.max("total").alias("total"), *[quartile(i).alias(f"q{25 * i}") for i in (1, 2, 3)])
+    at = lambda thousandths: F.min(F.when(1000 * F.col("upto") >= thousandths * F.col("total"), F.col("bucket")))
+    upper = F.coalesce(*[F.when(F.col("ratio") == r, F.lit(k)) for r, _, _, k in RATIOS], F.lit(1000))
+    q = ranked.groupBy(*by, "ratio").agg(F.max("total").alias("total"), at(250).alias("b25"), at(750).alias("b75"), at(upper).alias("upper"))
+    return q.select(*by, "ratio", F.struct("total", "b25", "b75", "upper").alias("q"))
 
 
 def fences(sketch: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, source, low_<ratio>, high_<ratio>...): a row for each language and source
-    that has a sketch."""
-    own, lang, every = _quartiles(sketch, "lang", "source"), _quartiles(sketch, "lang"), _quartiles(sketch)
-    q = lambda d, p: d.select(*[c for c in d.columns if c in ("lang", "source", "ratio")], F.struct("total", "q25", "q50", "q75").alias(p))
-    joined = q(own, "own").join(q(lang, "of_lang"), ["lang", "ratio"]).join(q(every, "of_all"), "ratio")
-    chosen = joined.withColumn("q", F.when(F.col("own.total") >= least_docs, F.col("own")).when(F.col("of_lang.total") >= least_docs, F.col("of_lang")).otherwise(F.col("of_all")))
-    spread = REACH * (F.col("q.q75") - F.col("q.q25"))
-    wide = []
-    for r, _, _, slack in RATIOS:
-        this = F.col("ratio") == r
-        wide.append(F.max(F.when(this, F.greatest(F.col("q.q75") + spread, F.col("q.q50") + slack))).alias(f"high_{r}"))
-    low = F.least(F.col("q.q25") - spread, F.col("q.q50") - 4.0)
-    wide.append(F.max(F.when(F.col("ratio") == "mean_word", low)).alias("low_mean_word"))
-    return chosen.groupBy("lang", "source").agg(*wide)
+    """(lang, source, upper_<ratio>..., low_mean_word, high_mean_word): a row for each
+    language and source that has a sketch.  upper is the last bucket that passes."""
+    own, lang, every = (_quantiles(sketch, *by).withColumnRenamed("q", name) for name, *by in (("own", "lang", "source"), ("of_lang", "lang"), ("of_all",)))
+    joined = own.join(lang, ["lang", "ratio"]).join(every, "ratio")
+    chosen = joined.select("lang", "source", "ratio", F.when(F.col("own.total") >= least_docs, F.col("own")).when(F.col("of_lang.total") >= least_docs, F.col("of_lang")).otherwise(F.col("of_all")).alias("q"))
+    # A sketch knows a quartile to its bucket: the lower one from there, the upper one to there.
+    low, high = F.pow(F.lit(GAMMA), F.col("q.b25") - 1), F.pow(F.lit(GAMMA), F.col("q.b75"))
+    spread = REACH * (high - low)
+    this = lambda r, c: F.max(F.when(F.col("ratio") == r, c))
+    uppers = [this(r, F.col("q.upper")).alias(f"upper_{r}") for r, *_ in RATIOS]
+    return chosen.groupBy("lang", "source").agg(*uppers, this("mean_word", low - spread).alias("low_mean_word"), this("mean_word", high + spread).alias("high_mean_word"))
+
+
+def _good(count: Callable[[str], Column], limit: Callable[[str], Column]) -> Column:
+    """Whether a document's counts keep to its group's thresholds; null without a group."""
+    ratio = lambda top, under: count(top) / F.greatest(count(under), F.lit(1))
+    shape = ratio(*SHAPE[1:])
+    ok = (shape >= limit("low_mean_word")) & (shape <= limit("high_mean_word"))
+    for r, top, under, _ in RATIOS:
+        ok = ok & (_bucket(ratio(top, under)) <= limit(f"upper_{r}"))
+    return ok
 
 
 def _judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
-    """counts joined with the fences of their language and source, with base_failed and
+    """counts joined with the thresholds of their language and source, with base_failed and
     kept.  A language and source without a sketch has failed documents alone."""
-    # Fences are a row for each language and source; beyond this many the join shuffles.
+    # Thresholds are a row for each language and source; beyond this many the join shuffles.
     few = limits.count() <= 20_000
     joined = counts.join(F.broadcast(limits) if few else limits, ["lang", "source"], "left")
-    ok = F.col("mean_word") >= F.col("low_mean_word")
-    for r, top, under, _ in RATIOS:
-        joined = joined.withColumn(r, _ratio(top, under))
-        ok = ok & (F.col(r) <= F.col(f"high_{r}"))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(ok, F.lit(False)))
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(_good(F.col, F.col), F.lit(False)))
 
 
 def _plain_counts(docs: DataFrame) -> DataFrame:
@@ -179,7 +185,10 @@ def verdicts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 def keep_good(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """The rows of docs that verdicts() keeps, all columns as they were.  Texts are
-    read twice instead of being shuffled or written."""
+    read twice instead of being shuffled or written.  A null or empty text fails the base
+    rule, so its row goes; null and empty languages (sources) form one group; repeated
+    rows stay or go together, and so do documents with equal counts in one group; an
+    empty table gives no rows; further columns pass through, whatever their names."""
     counts = _plain_counts(docs)
     limits = X.written(fences(sketches(counts), least_docs), "quality-fences")
     own = "_shelfmark_counts"
@@ -191,7 +200,4 @@ def keep_good(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     lim = limits.select(F.struct("*").alias(f"{own}_f"))
     f = lambda c: F.col(f"{own}_f.{c}")
     joined = row.join(F.broadcast(lim) if few else lim, (_key("lang") == f("lang")) & (_key("source") == f("source")), "left")
-    ok = n("word_chars") / F.greatest(n("n_words"), F.lit(1)) >= f("low_mean_word")
-    for r, top, under, _ in RATIOS:
-        ok = ok & (n(top) / F.greatest(n(under), F.lit(1)) <= f(f"high_{r}"))
-    return joined.where(~base_failed(n("n_words"), n("n_repeat_words")) & ok).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.where(~base_failed(n("n_words"), n("n_repeat_words")) & _good(n, f)).select(*[F.col(f"`{c}`") for c in docs.columns])

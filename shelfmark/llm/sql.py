@@ -9,42 +9,40 @@ t AS (SELECT *, w3 IS NOT NULL AND count(*) OVER (PARTITION BY r, w, w2, w3) > 1
 c AS (SELECT r, w, max(CASE WHEN twice THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM t),
 n AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, sum(hit) AS n_repeat_words FROM c GROUP BY r),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-k AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+j AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 m AS (
   SELECT doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, greatest(coalesce(n_lines, 0), 1) AS n_lines
-  FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)),
+  FROM d LEFT JOIN n USING (r) LEFT JOIN j USING (r)),
 v AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbols,
     n_repeat_words / greatest(n_words, 1) AS repeats, n_dup_lines / n_lines AS dup_lines, word_chars / greatest(n_words, 1) AS mean_word FROM m),
-u AS (SELECT lang, source, ratio, CASE WHEN x > 0 THEN ceil(ln(x) / ln(1.02)) ELSE -1e12 END AS bucket FROM (
-  SELECT lang, source, unnest(['symbols', 'repeats', 'dup_lines', 'mean_word']) AS ratio, unnest([symbols, repeats, dup_lines, mean_word]) AS x FROM v WHERE NOT base_failed)),
-s AS (SELECT lang, source, ratio, bucket, count(*) AS n FROM u GROUP BY ALL),
+k AS (SELECT *, CASE WHEN symbols > 0 THEN ceil(ln(symbols) / ln(1.02)) ELSE -1e12 END AS bs, CASE WHEN repeats > 0 THEN ceil(ln(repeats) / ln(1.02)) ELSE -1e12 END AS br,
+  CASE WHEN dup_lines > 0 THEN ceil(ln(dup_lines) / ln(1.02)) ELSE -1e12 END AS bd, CASE WHEN mean_word > 0 THEN ceil(ln(mean_word) / ln(1.02)) ELSE -1e12 END AS bm FROM v),
+s AS (SELECT lang, source, ratio, bucket, upper, count(*) AS n FROM (
+  SELECT lang, source, unnest(['symbols', 'repeats', 'dup_lines', 'mean_word']) AS ratio, unnest([950, 990, 990, 1000]) AS upper, unnest([bs, br, bd, bm]) AS bucket FROM k WHERE NOT base_failed) GROUP BY ALL),
 p AS (
-  SELECT lang, source, ratio, bucket, n, 1 AS level FROM s
-  UNION ALL SELECT lang, NULL, ratio, bucket, sum(n), 2 FROM s GROUP BY lang, ratio, bucket
-  UNION ALL SELECT NULL, NULL, ratio, bucket, sum(n), 3 FROM s GROUP BY ratio, bucket),
+  SELECT lang, source, ratio, bucket, upper, n, 1 AS level FROM s
+  UNION ALL SELECT lang, NULL, ratio, bucket, upper, sum(n), 2 FROM s GROUP BY lang, ratio, bucket, upper
+  UNION ALL SELECT NULL, NULL, ratio, bucket, upper, sum(n), 3 FROM s GROUP BY ratio, bucket, upper),
 q AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM p),
 e AS (
-  SELECT level, lang, source, ratio, max(total) AS total,
-    min(bucket) FILTER (WHERE 4 * upto >= total) AS b1, min(bucket) FILTER (WHERE 4 * upto >= 2 * total) AS b2, min(bucket) FILTER (WHERE 4 * upto >= 3 * total) AS b3
+  SELECT level, lang, source, ratio, max(total) AS total, min(bucket) FILTER (WHERE 1000 * upto >= 250 * total) AS b1,
+    min(bucket) FILTER (WHERE 1000 * upto >= 750 * total) AS b3, min(bucket) FILTER (WHERE 1000 * upto >= upper * total) AS bu
   FROM q GROUP BY ALL),
-f AS (
-  SELECT level, lang, source, ratio, total, CASE WHEN b1 < -1e9 THEN 0 ELSE pow(1.02, b1) * (2 / 2.02) END AS q1,
-    CASE WHEN b2 < -1e9 THEN 0 ELSE pow(1.02, b2) * (2 / 2.02) END AS q2, CASE WHEN b3 < -1e9 THEN 0 ELSE pow(1.02, b3) * (2 / 2.02) END AS q3 FROM e),
 h AS (
-  SELECT a.lang, a.source, a.ratio, CASE WHEN a.total >= 200 THEN a.q1 WHEN b.total >= 200 THEN b.q1 ELSE c.q1 END AS q1,
-    CASE WHEN a.total >= 200 THEN a.q2 WHEN b.total >= 200 THEN b.q2 ELSE c.q2 END AS q2, CASE WHEN a.total >= 200 THEN a.q3 WHEN b.total >= 200 THEN b.q3 ELSE c.q3 END AS q3
-  FROM f a JOIN f b ON b.level = 2 AND a.lang = b.lang AND a.ratio = b.ratio JOIN f c ON c.level = 3 AND a.ratio = c.ratio WHERE a.level = 1),
+  SELECT a.lang, a.source, a.ratio, CASE WHEN a.total >= 50 THEN a.bu WHEN b.total >= 50 THEN b.bu ELSE c.bu END AS bu,
+    pow(1.02, CASE WHEN a.total >= 50 THEN a.b1 WHEN b.total >= 50 THEN b.b1 ELSE c.b1 END - 1) AS q1,
+    pow(1.02, CASE WHEN a.total >= 50 THEN a.b3 WHEN b.total >= 50 THEN b.b3 ELSE c.b3 END) AS q3
+  FROM e a JOIN e b ON b.level = 2 AND a.lang = b.lang AND a.ratio = b.ratio JOIN e c ON c.level = 3 AND a.ratio = c.ratio WHERE a.level = 1),
 z AS (
-  SELECT lang, source, max(greatest(q3 + 3 * (q3 - q1), q2 + 0.5)) FILTER (WHERE ratio = 'symbols') AS hs, max(greatest(q3 + 3 * (q3 - q1), q2 + 0.3)) FILTER (WHERE ratio = 'repeats') AS hr,
-    max(greatest(q3 + 3 * (q3 - q1), q2 + 0.5)) FILTER (WHERE ratio = 'dup_lines') AS hd, max(greatest(q3 + 3 * (q3 - q1), q2 + 4)) FILTER (WHERE ratio = 'mean_word') AS hm,
-    max(least(q1 - 3 * (q3 - q1), q2 - 4)) FILTER (WHERE ratio = 'mean_word') AS lm
+  SELECT lang, source, max(bu) FILTER (WHERE ratio = 'symbols') AS us, max(bu) FILTER (WHERE ratio = 'repeats') AS ur, max(bu) FILTER (WHERE ratio = 'dup_lines') AS ud,
+    max(q1 - 5 * (q3 - q1)) FILTER (WHERE ratio = 'mean_word') AS lm, max(q3 + 5 * (q3 - q1)) FILTER (WHERE ratio = 'mean_word') AS hm
   FROM h GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(symbols <= hs AND repeats <= hr AND dup_lines <= hd AND mean_word <= hm AND mean_word >= lm, false) AS kept
-FROM v LEFT JOIN z USING (lang, source)
+  NOT base_failed AND coalesce(bs <= us AND br <= ur AND bd <= ud AND mean_word BETWEEN lm AND hm, false) AS kept
+FROM k LEFT JOIN z USING (lang, source)
 """
 
 CONTAMINATION = r"""

@@ -59,3 +59,15 @@ def test_round_trip_and_mask(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
     assert C.digests(df.limit(0)).collect() == []
+
+
+def test_a_wrong_mask_changes_the_digests(spark):
+    rows = [(1, 0, "user", "ask <[\\"), (1, 1, "assistant", "answer </s> é"), (1, 2, "assistant", ""), (1, 3, "assistant", "[TURN]"), (2, 0, "assistant", "only")]
+    out = C.rendered(C.folded(C.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    right = {r.conv_id: r for r in C.digested(out).collect()}
+    assert right[1].loss_sha256 == hashlib.sha256("answer </s> é[TURN]".encode()).hexdigest() and right[2].loss_chars == 4
+    moved = "transform(loss_mask, m -> named_struct('start', m.start - 1, 'end', m.end))"
+    for wrong in ("slice(loss_mask, 1, 0)", "slice(loss_mask, 1, size(loss_mask) - 1)", "reverse(loss_mask)", moved, "cast(null as array<struct<start:bigint,end:bigint>>)"):
+        got = {r.conv_id: r for r in C.digested(out.withColumn("loss_mask", C.F.expr(wrong))).collect()}
+        assert got[1].loss_sha256 != right[1].loss_sha256, wrong
+        assert [(r.turns_sha256, r.formatted_chars) for r in got.values()] == [(r.turns_sha256, r.formatted_chars) for r in right.values()]

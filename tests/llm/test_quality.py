@@ -71,10 +71,28 @@ def test_sketches_merge_in_any_order(spark):
 def test_quantiles_are_within_a_bucket(spark):
     values = [random.Random(4).lognormvariate(1, 1) for _ in range(2000)]
     df = spark.createDataFrame([(60 + i, int(1e6 * v)) for i, v in enumerate(values)], "i long, v long")
-    counts = df.selectExpr("'l' lang", "'s' source", "1000000L n_words", "v word_chars", "0L n_symbols", "0L n_dup_lines", "0L n_repeat_words", "1L n_lines")
-    row = Q._quartiles(Q.sketches(counts), "lang").where("ratio = 'mean_word'").first()
-    for q, i in ((row.q25, 500), (row.q50, 1000), (row.q75, 1500)):
-        assert abs(q / sorted(values)[i - 1] - 1) < 0.011
+    counts = df.selectExpr("'l' lang", "'s' source", "1000000L n_words", "v word_chars", "v n_symbols", "0L n_dup_lines", "0L n_repeat_words", "1L n_lines")
+    row = {r.ratio: r.q for r in Q._quantiles(Q.sketches(counts), "lang").collect()}
+    for bucket, i in ((row["mean_word"].b25, 500), (row["mean_word"].b75, 1500), (row["symbols"].upper, 1900)):
+        v = int(1e6 * sorted(values)[i - 1]) / 1e6
+        assert Q.GAMMA ** (bucket - 1) < v <= Q.GAMMA**bucket * (1 + 1e-12)
+    assert row["dup_lines"].upper == Q.ZERO and row["dup_lines"].total == 2000
+
+
+def test_thresholds_are_each_groups_own(spark):
+    """The same text passes among texts like it and goes among others; groups too small for
+    a sketch of their own are judged by their language's."""
+    rnd = random.Random(6)
+    prose = lambda n: [f"word{rnd.randrange(3000)}" for _ in range(n)]
+    code = lambda: [w + "$" if rnd.random() < 0.5 else w for w in prose(80)]
+    odd = " ".join(w + "$" if i % 2 else w for i, w in enumerate(prose(80)))
+    rows = [(i, " ".join(prose(80)), "en", "news") for i in range(200)] + [(200 + i, " ".join(code()), "en", "code") for i in range(200)]
+    rows += [(400 + i, " ".join(prose(80)), "de", "news") for i in range(60)]
+    rows += [(900, odd, "en", "news"), (901, odd, "en", "code"), (902, odd, "de", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in Q.verdicts(df).collect() if r.kept}
+    assert 901 in kept and 900 not in kept and 902 not in kept
+    assert all(len(kept & set(range(a, b))) >= 0.9 * (b - a) for a, b in ((0, 200), (200, 400), (400, 460)))
 
 
 def test_empty(spark):
