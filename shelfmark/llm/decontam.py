@@ -208,16 +208,13 @@ def search_texts(texts: list[bytes | None], windows: Windows) -> tuple[list[int]
     return n_words, merged, [sorted(f) for f in found]
 
 
-def _blocks(bench: DataFrame, block_bytes: int) -> list[list[tuple[str | None, bytes]]]:
-    """Items in blocks of bounded size, so what a task gets has a bound whatever the
-    size of the benchmark.  Null texts have no words and are left out."""
+def _items(bench: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """Distinct (item_id, text, block) and the number of blocks of about block_bytes.  Null
+    texts have no words and are left out."""
     items = bench.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0)).alias("n")).first().n
     many = max(1, -(-size // block_bytes))
-    if many == 1:
-        return [[(r.item_id, r.text.encode()) for r in items.collect()]]
-    part = F.pmod(F.xxhash64("item_id"), F.lit(many))
-    return [[(r.item_id, r.text.encode()) for r in items.where(part == i).collect()] for i in range(many)]
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(many))), many
 
 
 def with_hits(docs: DataFrame, bench: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -240,8 +237,14 @@ def with_hits(docs: DataFrame, bench: DataFrame, name: str, block_bytes: int = B
 
         return run
 
-    for i, items in enumerate(_blocks(bench, block_bytes)):
-        docs = docs.mapInArrow(X.tidy(searching(items, i > 0)), out)
+    # One block at a time is read by the driver and searched for by the tasks: what either
+    # holds has a bound whatever the size of the benchmark.
+    items, many = _items(bench, block_bytes)
+    for i in range(many):
+        block = [(r.item_id, r.text.encode()) for r in items.where(F.col("block") == i).collect()]
+        docs = docs.mapInArrow(X.tidy(searching(block, i > 0)), out)
+        if i + 1 < many:
+            docs = X.written(docs, "hits")
     return docs
 
 
@@ -286,8 +289,12 @@ def cut_spans(text: bytes, spans: list[list[int]], table: bytes = X.ALNUM_LOWER)
 
 def remove_benchmark(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the hit spans cut out of their texts, all else as it was; n_chars, where
-    there is such a column, follows the text.  A document that is left without a word
-    goes."""
+    there is such a column, follows the text.
+
+    A document that is cut down to no word goes; one that had none before, null or empty,
+    stays, as do rows with a null id.  Repeated rows are cut alike.  An empty benchmark
+    leaves all as it was, an empty table gives no rows, and columns of other names pass
+    through."""
     own = "_shelfmark_hits"
     while own in docs.columns:
         own += "_"

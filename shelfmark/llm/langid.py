@@ -136,6 +136,8 @@ def predict(docs: DataFrame, profiles: DataFrame, profile: int = PROFILE, block:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
         out = out.mapInArrow(X.tidy(run), out.schema)
+        if first + block < len(langs):
+            out = X.written(out, "language-scores")  # a task holds one block's profiles
     return out.select(*[f.name for f in schema], "lang_pred", "score")
 
 

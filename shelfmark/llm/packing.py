@@ -28,8 +28,9 @@ END = 1
 #: emptied and refilled.  Longest word that is kept, and how many words the small tier
 #: takes in before it is merged into the large one.
 STORE, LONGEST, LATEST = 1_500_000, 64, 60_000
-#: Parts in which the pieces of one length are numbered.
-PARTS = 64
+#: Parts in which the pieces of one length are numbered, at least, and pieces for each part
+#: beyond.
+PARTS, PART_ROWS = 64, 1 << 20
 _stores: dict[str, tuple] = {}
 
 
@@ -238,9 +239,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     doc_id, piece and checksum.  Other columns are ignored; an empty table gives no rows.
     """
     rows = X.written(pieces(docs, tokenizer, capacity, ids), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")
+    parts = max(PARTS, rows.count() // PART_ROWS)
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
     counts = rows.groupBy("length", part.alias("part")).agg(F.count("*").alias("n"))
-    # At most capacity x PARTS rows, whatever the corpus.
+    # At most capacity x parts rows: broadcast up to 13 MB, else joined as the window dealt it.
     first = counts.withColumn("first", F.sum("n").over(W.Window.partitionBy("length").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1))).select("length", "part", F.coalesce("first", F.lit(0)).alias("first"))
     total = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     found, key, low, base, each, offset, bins_before = patterns(total, capacity), [], [], [], [], [], 0
@@ -271,7 +273,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     own = W.Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = rows.withColumn("part", part).withColumn("n", F.row_number().over(own)).join(F.broadcast(first), ["length", "part"])
+    numbered = rows.withColumn("part", part).withColumn("n", F.row_number().over(own)).join(F.broadcast(first) if parts == PARTS else first, ["length", "part"])
     names = [c for c in rows.columns if c != "ids"]
     slim = numbered.select(*names, *["ids"] * ids, (F.col("n") - 1 + F.col("first")).alias("n"))
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids + ", sequence_id long, offset long"

@@ -44,11 +44,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where none is set."""
+    """The folder that all executors share.  Where none is set, a local session gets one of
+    its own; on a cluster that would part the executors, so it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         there = spark.conf.get("spark.checkpoint.dir", None)
         if not there:
+            if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             there = tempfile.mkdtemp(prefix="shelfmark-checkpoint-")

@@ -20,8 +20,8 @@ from . import textops as X
 
 #: (host, path, verdict) of the rules.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Longest word that a label is split into, and longest label that a host name may have.
-LONGEST_WORD, LONGEST_LABEL = 20, 63
+#: Letters by which words are looked up; longer words are found by their first ones.
+KEY = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,24 +47,25 @@ def word_counts(pages: DataFrame) -> DataFrame:
     """(word, n): lower-cased runs of letters in the texts of all pages."""
     text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
-    return words.where(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    return words.where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def best_split(label: str, counts: dict[str, int], total: int) -> list[str]:
     """The most probable words that make up label.  An unknown part costs as a word seen
     once, and as much again for each of its characters as a random letter.  Equal splits
     go to the longer last word."""
-    unit = log(total + 1)
-    cost, back = [0.0], [0]
+    unit, letter = log(total + 1), log(26)
+    sizes = sorted({len(w) for w in counts}, reverse=True)
+    cost, back, rest = [0.0], [0], (0.0, 0)
     for i in range(1, len(label) + 1):
-        best = None
-        for j in range(max(0, i - LONGEST_WORD), i):
-            n = counts.get(label[j:i])
-            c = cost[j] + (unit - log(n) if n else unit + (i - j) * log(26))
-            if best is None or c < best[0]:
-                best = c, j
+        best = unit + rest[0] + i * letter, rest[1]
+        for m in sizes:
+            n = counts.get(label[i - m : i]) if m <= i else None
+            if n:
+                best = min(best, (cost[i - m] + unit - log(n), i - m))
         cost.append(best[0])
         back.append(best[1])
+        rest = min(rest, (best[0] - i * letter, i))
     out, i = [], len(label)
     while i:
         out.append(label[back[i] : i])
@@ -73,19 +74,21 @@ def best_split(label: str, counts: dict[str, int], total: int) -> list[str]:
 
 
 def segmented(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """(label, parts) of distinct labels.  A label longer than a host name may have stays
-    whole."""
+    """(label, parts) of distinct labels, of any length.  The parts of a label that have up
+    to KEY letters are looked up, so a label asks for a number linear in its length; a
+    longer word answers to its first KEY letters, if the label holds it."""
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    short = F.length("label") <= LONGEST_LABEL
-    starts = F.when(short & (F.length("label") > 0), F.sequence(F.lit(1), F.length("label"))).otherwise(F.array())
-    subs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("label") - i + 1)), lambda n: F.substr("label", i, n))))
-    asked = labels.select("label", F.explode_outer(F.array_distinct(subs)).alias("word"))
-    known = asked.join(words, "word", "left").groupBy("label").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known"))
+    starts = F.when(F.length("label") > 0, F.sequence(F.lit(1), F.length("label"))).otherwise(F.array())
+    subs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length("label") - i + 1)), lambda n: F.substr("label", i, n))))
+    asked = labels.select("label", F.explode_outer(F.array_distinct(subs)).alias("key"))
+    table = words.select(F.substring("word", 1, KEY).alias("key"), "word", "n")
+    held = F.when(F.contains("label", "word"), F.struct("word", "n"))
+    known = asked.join(table, "key", "left").groupBy("label").agg(F.collect_list(held).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column("label").to_pylist()
-            parts = [[x] if len(x) > LONGEST_LABEL else best_split(x, {w["word"]: w["n"] for w in k}, total) for x, k in zip(label, batch.column("known").to_pylist(), strict=True)]
+            parts = [best_split(x, {w["word"]: w["n"] for w in k}, total) for x, k in zip(label, batch.column("known").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(parts, pa.list_(pa.string()))], names=["label", "parts"])
 
     return known.mapInArrow(run, "label string, parts array<string>")

@@ -38,7 +38,7 @@ def rule_of(host, path):
 def tokens(host, path, counts, total):
     out = []
     for label in host.split("."):
-        out += ["host:" + p for p in ([label] if len(label) > 63 else U.best_split(label, counts, total))]
+        out += ["host:" + p for p in U.best_split(label, counts, total)]
     for t in re.split(r"[\W_]+", path.lower()):
         if t:
             out.append(f"path:#{len(t)}" if t.isdigit() else "path:" + t)
@@ -79,8 +79,21 @@ def test_best_split_is_the_best():
     def cost(w):
         return log(total + 1) - log(counts[w]) if w in counts else log(total + 1) + len(w) * log(26)
 
+    long = "x" * 30
+    counts[long] = 4
+    assert U.best_split("ab" + long + "zab", counts, total) == ["ab", long, "z", "ab"]
+    assert U.best_split("q" * 90, counts, total) == ["q" * 90]
     for label in ["abc", "abcabc", "xbcx", "cab", "zz", "a"]:
         ways = [[label[i:j] for i, j in zip((0, *c), (*c, len(label)), strict=True)] for n in range(len(label)) for c in combinations(range(1, len(label)), n)]
         best = min(sum(map(cost, w)) for w in ways)
         assert isclose(sum(map(cost, U.best_split(label, counts, total))), best)
     assert U.best_split("", counts, total) == []
+
+
+def test_words_and_labels_of_any_length(spark):
+    """A word of over KEY letters is found by its first ones, in labels of over 63."""
+    long = "donaudampfschifffahrtsgesellschaft"
+    words = spark.createDataFrame([(long, 3), (long[:25], 1), ("blue", 2), (long[:20], 1)], "word string, n long")
+    label = "blue" * 20 + long
+    got = U.segmented(spark.createDataFrame([(label,), ("",)], "label string"), words).collect()
+    assert {r.label: r.parts for r in got} == {label: ["blue"] * 20 + [long], "": []}
