@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,38 +65,28 @@ def crc32(data: Column) -> Column:
     return F.crc32(data)
 
 
-def _crc16(rows: pd.Series, seed: int, reflected: bool) -> pd.Series:
-    """CRC-16 over a batch by table: polynomial 1021, plain or reflected."""
-    import numpy as np
+def _crc16(data: Column, seed: int, reflected: bool) -> Column:
+    """CRC-16 of polynomial 1021, plain or reflected, by a table for each byte."""
+    table = []
+    for n in range(256):
+        crc = n if reflected else n << 8
+        for _ in range(8):
+            crc = (crc >> 1 ^ 0x8408 if crc & 1 else crc >> 1) if reflected else (crc << 1 ^ 0x1021 if crc & 0x8000 else crc << 1) & 0xFFFF
+        table.append(crc)
+    entries = F.lit(table)
+    values = F.transform(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
 
-    table = np.arange(256, dtype=np.uint32)
-    table = table if reflected else table << 8
-    for _ in range(8):
-        table = np.where(table & 1, table >> 1 ^ 0x8408, table >> 1) if reflected else np.where(table & 0x8000, table << 1 ^ 0x1021, table << 1) & 0xFFFF
-    entries = table.tolist()
+    def step(crc: Column, b: Column) -> Column:
+        if reflected:
+            return F.shiftright(crc, 8).bitwiseXOR(F.get(entries, crc.bitwiseXOR(b).bitwiseAND(F.lit(0xFF))))
+        return F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.get(entries, F.shiftright(crc, 8).bitwiseXOR(b)))
 
-    def one(data: bytes | None) -> int | None:
-        if data is None:
-            return None
-        crc = seed
-        for b in data:
-            crc = crc >> 8 ^ entries[(crc ^ b) & 0xFF] if reflected else (crc << 8 & 0xFFFF) ^ entries[crc >> 8 ^ b]
-        return crc
-
-    return rows.map(one).astype("Int32")
+    return F.aggregate(values, F.lit(seed), step)
 
 
 def crc16_xmodem(data: Column, seed: int = 0) -> Column:
-    @F.pandas_udf("int")
-    def run(rows: pd.Series) -> pd.Series:
-        return _crc16(rows, seed, False)
-
-    return run(data)
+    return _crc16(data, seed, False)
 
 
 def crc16_kermit(data: Column, seed: int = 0) -> Column:
-    @F.pandas_udf("int")
-    def run(rows: pd.Series) -> pd.Series:
-        return _crc16(rows, seed, True)
-
-    return run(data)
+    return _crc16(data, seed, True)

@@ -38,27 +38,38 @@ def to_prodos(t: Column) -> Column:
     return F.when(F.year(t).between(1940, 2039), packed).otherwise(0)
 
 
+def pascal_none(x: Column) -> Column:
+    """Whether a Pascal date stands for none: month 0, or a year of 100 to 127."""
+    return (_bits(x, 0, 4) == 0) | (_bits(x, 9, 7) >= 100)
+
+
 def from_pascal(x: Column) -> Column:
-    """Month in 4 bits, day in 5, year in 7, from the lowest."""
+    """Month in 4 bits, day in 5, year in 7, from the lowest; see pascal_none()."""
     year = _bits(x, 9, 7)
-    return F.when(x != 0, _made(F.when(year < 40, year + 2000).otherwise(year + 1900), _bits(x, 0, 4), _bits(x, 4, 5), F.lit(0), F.lit(0), F.lit(0)))
+    return F.when(~pascal_none(x), _made(F.when(year < 40, year + 2000).otherwise(year + 1900), _bits(x, 0, 4), _bits(x, 4, 5), F.lit(0), F.lit(0), F.lit(0)))
 
 
 def to_pascal(t: Column) -> Column:
     return F.when(F.year(t).between(1940, 2039), _shifted((F.year(t) % 100, 9), (F.day(t), 4), (F.month(t), 0))).otherwise(0)
 
 
-#: Seconds from 1904-01-01 to 1970-01-01.
-HFS_EPOCH = 2082844800
+def _since(epoch: str, seconds: Column) -> Column:
+    """Seconds after a date, whatever the session's time zone."""
+    return F.expr(f"TIMESTAMP_NTZ '{epoch} 00:00:00'") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def _seconds(epoch: str, t: Column) -> Column:
+    whole = F.expr(f"TIMESTAMP_NTZ '{epoch} 00:00:00'")
+    return F.timestamp_diff("DAY", whole, t) * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
 
 
 def from_hfs(x: Column) -> Column:
     """Seconds since 1904; zero is none."""
-    return F.when(x != 0, F.timestamp_seconds(x.cast("long") - HFS_EPOCH).cast("timestamp_ntz"))
+    return F.when(x != 0, _since("1904-01-01", x))
 
 
 def to_hfs(t: Column) -> Column:
-    seconds = F.unix_timestamp(t.cast("timestamp")) + HFS_EPOCH
+    seconds = _seconds("1904-01-01", t.cast("timestamp_ntz"))
     return F.when(seconds.between(1, 0xFFFFFFFF), seconds).otherwise(0)
 
 
@@ -75,9 +86,10 @@ def to_msdos_time(t: Column) -> Column:
 
 
 def from_gs(x: Column) -> Column:
-    """Eight bytes from the lowest: second, minute, hour, year since 1900, day and month
-    (both from 0), one unused, weekday."""
-    return F.when(x != 0, _made(_bits(x, 24, 8) + 1900, _bits(x, 40, 8) + 1, _bits(x, 32, 8) + 1, _bits(x, 16, 8), _bits(x, 8, 8), _bits(x, 0, 8)))
+    """Eight bytes from the lowest: second, minute, hour, year since 1900 (under 40: since
+    2000), day and month (both from 0), one unused, weekday."""
+    year = _bits(x, 24, 8)
+    return F.when(x != 0, _made(F.when(year < 40, year + 2000).otherwise(year + 1900), _bits(x, 40, 8) + 1, _bits(x, 32, 8) + 1, _bits(x, 16, 8), _bits(x, 8, 8), _bits(x, 0, 8)))
 
 
 def to_gs(t: Column) -> Column:
@@ -85,14 +97,24 @@ def to_gs(t: Column) -> Column:
     return F.when(F.year(t).between(1900, 2155), packed).otherwise(0)
 
 
+#: The signed 32-bit number that stands for no date.
+NO_UNIX = -(1 << 31)
+
+
 def from_unix(x: Column) -> Column:
-    return F.when(x != 0, F.timestamp_seconds(x.cast("long")).cast("timestamp_ntz"))
+    """Seconds since 1970, a signed 32-bit number; the least is none."""
+    return F.when(x != NO_UNIX, _since("1970-01-01", x))
 
 
 def to_unix(t: Column) -> Column:
-    return F.unix_timestamp(t.cast("timestamp"))
+    """NO_UNIX for null and for what 32 bits can't hold."""
+    ntz = t.cast("timestamp_ntz")
+    seconds = F.when(ntz >= F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), _seconds("1970-01-01", ntz)).otherwise(_seconds("1900-01-01", ntz) - 25567 * 86400)
+    return F.when(seconds.between(NO_UNIX, 0x7FFFFFFF), seconds).otherwise(F.lit(NO_UNIX).cast("long"))
 
 
-def status(packed: Column, made: Column) -> Column:
-    """`none` for a zero or null, `invalid` for what makes no date, else `valid`."""
-    return F.when(packed.isNull() | (packed == 0), "none").when(made.isNull(), "invalid").otherwise("valid")
+def status(packed: Column, made: Column, none: Column | None = None) -> Column:
+    """`none` for a zero or null, or where none says so, `invalid` for what makes no date,
+    else `valid`."""
+    nothing = packed.isNull() | (packed == 0 if none is None else none)
+    return F.when(nothing, "none").when(made.isNull(), "invalid").otherwise("valid")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The letters of the access bits 7, 6, 5, 2, 1 and 0.
-ACCESS_BITS = ((7, "d"), (6, "n"), (5, "b"), (2, "i"), (1, "w"), (0, "r"))
+# The letters of the access bits, from the highest.
+ACCESS_LETTERS = "dnb??iwr"
 
 
 def hex_value(x: Column, least: int = 2) -> Column:
@@ -23,22 +23,25 @@ def date_text(t: Column) -> Column:
 
 def access_letters(x: Column) -> Column:
     """A letter for each access bit that is set, from the highest."""
-    return F.concat(*[F.when(x.cast("long").bitwiseAND(F.lit(1 << i)) != 0, c).otherwise("") for i, c in ACCESS_BITS])
+    return F.concat(*[F.when(x.cast("long").bitwiseAND(F.lit(128 >> i)) != 0, c).otherwise("") for i, c in enumerate(ACCESS_LETTERS)])
 
 
 def comp_percent(part: Column, whole: Column) -> Column:
-    """What part is of whole, halves to the even: `??%` unknown, `--%` of nothing, `<1%`,
-    and no more than `999%`."""
-    p = F.bround(part * 100.0 / whole)
-    return F.when(part.isNull() | whole.isNull() | (part < 0) | (whole < 0), "??%").when(whole == 0, "--%").when(part == 0, "0%").when(p < 1, "<1%").when(p > 999, "999%").otherwise(F.concat(p.cast("long").cast("string"), F.lit("%")))
+    """What the stored part is of the whole, halves to the even: `??%` unknown, `--%` nothing
+    of nothing, `0%` something of nothing, `<1%`, and no more than `999%`."""
+    p = F.bround(part * 100.0 / F.when(whole != 0, whole))
+    return F.when(part.isNull() | whole.isNull() | (part < 0) | (whole < 0), "??%").when(whole == 0, F.when(part == 0, "--%").otherwise("0%")).when((p == 0) & (part != 0), "<1%").when(p > 999, "999%").otherwise(F.concat(p.cast("long").cast("string"), F.lit("%")))
 
 
-def size_text(n: Column, unit: int = 1) -> Column:
-    """A length in units of so many bytes (rounded up), as KB, MB or GB from 10,000 on."""
-    if unit > 1:
-        return F.concat(F.ceil(n / unit).cast("string"), F.lit(" blocks" if unit == 512 else " sectors"))
-    step = lambda d, u: F.format_string(f"%.1f{u}", n / float(d))
-    return F.when(n < 10_000, F.concat(n.cast("string"), F.lit("B"))).when(n < 10_000 << 10, step(1 << 10, "KB")).when(n < 10_000 << 20, step(1 << 20, "MB")).otherwise(step(1 << 30, "GB"))
+def size_text(n: Column, unit: int = 1024) -> Column:
+    """A size on disk: whole units of 256 bytes (sectors), 512 (blocks) or others, whole KB
+    for 1024; from 10 MB on in MB, from 1 GB on in GB, with one decimal."""
+    step = lambda d, u, places: F.format_string(f"%.{places}f{u}", n / float(d))
+    name = {256: "sector", 512: "block"}.get(unit, "unit")
+    whole = F.floor(n / unit)
+    small = step(1 << 10, "KB", 0) if unit == 1024 else F.concat(whole.cast("string"), F.lit(f" {name}"), F.when(whole == 1, "").otherwise("s"))
+    large = F.when(n >= 1 << 30, step(1 << 30, "GB", 1)).otherwise(step(1 << 20, "MB", 1))
+    return F.when(n < 10 << 20, small).otherwise(large)
 
 
 def csv_field(v: Column) -> Column:
@@ -69,16 +72,19 @@ def parsed_int(s: Column) -> Column:
 
 
 # Bytes of each unit of a size.
-SIZE_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "kib": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "mib": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "gib": 1 << 30, "blk": 512, "block": 512, "blocks": 512}
-
-
-def size_bytes(s: Column, track_bytes: int = 16 * 256) -> Column:
-    """`800KB`, `280blk` or `35trk` in bytes; null for what is none of these."""
-    unit = F.lower(F.regexp_extract(s, r"^\s*[0-9]{1,9}\s*([A-Za-z]*)\s*$", 1))
-    number = F.regexp_extract(s, r"^\s*([0-9]{1,9})\s*[A-Za-z]*\s*$", 1)
-    units = SIZE_UNITS | {"trk": track_bytes, "track": track_bytes, "tracks": track_bytes}
-    table = F.create_map(*[F.lit(x) for kv in units.items() for x in kv])
-    return F.when(number != "", F.when(number != "", number).cast("long") * table[unit].cast("long"))
+SIZE_UNITS = {"k": 1 << 10, "kb": 1 << 10, "kib": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "mib": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "gib": 1 << 30, "t": 1 << 40, "tb": 1 << 40, "tib": 1 << 40, "blk": 512, "blocks": 512}
+
+
+def size_bytes(s: Column, track_bytes: int = 16 * 256, *, blocks: bool = False) -> Column:
+    """`800KB`, `280 blk` or `35trk` in bytes; null for what is none of these, and for more
+    than a signed 32-bit number of units.  blocks: no unit means blocks.  No track_bytes:
+    tracks are refused."""
+    pattern = r"^([0-9]{1,18})\s*([A-Za-z]*)\s*$"
+    number, unit = F.regexp_extract(s, pattern, 1), F.lower(F.regexp_extract(s, pattern, 2))
+    units = SIZE_UNITS | {"": 512 if blocks else 1} | ({"trk": track_bytes, "tracks": track_bytes} if track_bytes else {})
+    table = F.create_map(*[x for k, v in units.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    value = F.when(number != "", number).cast("long")
+    return F.when(value <= 0x7FFFFFFF, value * table[unit])
 
 
 def int_list_text(a: Column) -> Column:

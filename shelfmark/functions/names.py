@@ -42,3 +42,18 @@ def case_bits(name: Column, width: int = 16) -> Column:
     """The bits that cased() takes to show a name as it is."""
     chars = F.slice(F.filter(F.split(name, ""), lambda c: c != ""), 1, width)
     return F.aggregate(F.transform(chars, lambda c, i: F.when(c.rlike("[a-z ]"), F.call_function("shiftright", F.lit(1 << (width - 1)), i)).otherwise(0)), F.lit(0), lambda s, x: s.bitwiseOR(x))
+
+
+def swapped(bits: Column) -> Column:
+    """A 16-bit number with its bytes swapped."""
+    x = bits.cast("int")
+    return F.shiftleft(x.bitwiseAND(F.lit(0xFF)), 8).bitwiseOR(F.shiftright(x, 8).bitwiseAND(F.lit(0xFF)))
+
+
+def office_cased(name: Column, file_type: Column, aux_type: Column) -> Column:
+    """The name of a word processor, data base or spreadsheet file (types 19 to 1B hex) in
+    the case that its auxiliary type tells, bytes swapped: a set bit makes a character lower
+    case and a full stop a space, a clear one upper case and a space a full stop.  Other
+    names stay."""
+    raw = F.replace(F.upper(name), F.lit(" "), F.lit("."))
+    return F.when(file_type.between(0x19, 0x1B), cased(raw, swapped(aux_type))).otherwise(name)

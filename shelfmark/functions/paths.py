@@ -11,20 +11,21 @@ from pyspark.sql import functions as F
 
 def glob_regex(pattern: str, sep: str = "/", *, ignore_case: bool = True, prefix: bool = False) -> str:
     """A regular expression for a wildcard path: `*` is any run and `?` any character
-    within a component, a backslash makes the next character plain, a trailing separator
-    is dropped.  prefix: also match what lies below a matched path."""
+    within a component; a backslash makes the next of these plain, and stands for itself
+    elsewhere.  A trailing separator is dropped, from the pattern and from paths.  prefix:
+    also match what lies below a matched path."""
     out, i = [], 0
     pattern = pattern[:-1] if len(pattern) > 1 and pattern.endswith(sep) else pattern
     inside = f"[^{re.escape(sep)}]"
     while i < len(pattern):
         c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
+        if c == "\\" and pattern[i + 1 : i + 2] in ("*", "?"):
             i += 1
             out.append(re.escape(pattern[i]))
         else:
             out.append({"*": inside + "*", "?": inside}.get(c) or re.escape(c))
         i += 1
-    tail = f"({re.escape(sep)}.*)?" if prefix else ""
+    tail = f"({re.escape(sep)}.*)?" if prefix else f"{re.escape(sep)}?"
     return f"^(?s{'i' if ignore_case else ''}){''.join(out)}{tail}$"
 
 
@@ -77,15 +78,36 @@ def host_name(name: Column, replacement: str = "_") -> Column:
 
 
 def escaped_name(name: Column) -> Column:
-    """A reversible host-legal name: such characters, and %, as % and two hex digits."""
-    parts = F.split(name, "")
-    return F.array_join(F.transform(parts, lambda c: F.when(c.rlike(r'^[\x00-\x1f\x7f<>:"/\\|?*%]$'), F.concat(F.lit("%"), F.lower(F.lpad(F.hex(F.encode(c, "utf-8")), 2, "0")))).otherwise(c)), "")
+    """A reversible host-legal name: `%` twice, characters with a meaning and control
+    characters (or their pictures) as `%` and two hex digits; `A` for no name."""
+    parts = F.filter(F.split(unprintable(name), ""), lambda c: c != "")
+    bad = lambda c: c.rlike(r'^[\x00-\x1f\x7f<>:"/\\|?*]$')
+    out = F.array_join(F.transform(parts, lambda c: F.when(c == "%", "%%").when(bad(c), F.concat(F.lit("%"), F.lower(F.lpad(F.hex(F.encode(c, "utf-8")), 2, "0")))).otherwise(c)), "")
+    return F.when(name == "", "A").otherwise(out)
 
 
-def unescaped_name(name: Column) -> Column:
-    """Inverse of escaped_name."""
-    parts = F.regexp_extract_all(name, F.lit(r"(%[0-9a-f]{2}|(?s:.))"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda c: F.when(F.length(c) == 3, F.decode(F.unhex(F.substring(c, 2, 2)), "utf-8")).otherwise(c)), "")
+def unescaped_name(name: Column, new_sep: str | None = None) -> Column:
+    """Inverse of escaped_name: `%%`, and `%` with two hex digits; `%00` is left out, an
+    escaped new_sep becomes `%`, and any other `%` stays."""
+    parts = F.regexp_extract_all(name, F.lit(r"(%%|%[0-9A-Fa-f]{2}|(?s:.))"), F.lit(1))
+    code = lambda c: F.conv(F.substring(c, 2, 2), 16, 10).cast("int")
+    char = lambda c: F.decode(F.unhex(F.concat(F.substring(c, 2, 2))), "ISO-8859-1")
+    return F.array_join(F.transform(parts, lambda c: F.when(c == "%%", "%").when(F.length(c) != 3, c).when(code(c) == 0, "").when(char(c) == F.lit(new_sep), "%").otherwise(char(c))), "")
+
+
+def escaped_path(path: Column, sep: str = "/", new_sep: str = "/") -> Column:
+    """escaped_name of each component."""
+    return F.array_join(F.transform(components(path, sep), escaped_name), new_sep)
+
+
+def unescaped_path(path: Column, sep: str = "/", new_sep: str = "/") -> Column:
+    """unescaped_name of each component; none of them holds new_sep then."""
+    return F.array_join(F.transform(components(path, sep), lambda c: unescaped_name(c, new_sep)), new_sep)
+
+
+def host_path(path: Column, sep: str = "/", replacement: str = "_", new_sep: str = "/") -> Column:
+    """host_name of each component."""
+    return F.array_join(F.transform(components(path, sep), lambda c: host_name(c, replacement)), new_sep)
 
 
 def sidecar_path(path: Column) -> Column:

@@ -20,13 +20,15 @@ def catalog(entries: DataFrame, *, wide: bool = False) -> DataFrame:
     bad = F.col("is_damaged") | F.col("is_dubious") if {"is_damaged", "is_dubious"} <= set(entries.columns) else F.lit(False)
     shown = F.when(bad, F.concat(F.lit("!"), "data_fmt")).otherwise(F.col("data_fmt"))
     narrow = [F.col("container_id"), F.col("ordinal"), paths.printable(F.col("path")).alias("path"), formats.hex_value(F.col("file_type"), 2).alias("type"), formats.hex_value(F.col("aux_type"), 4).alias("aux"), F.col("data_len"), shown.alias("format")]
-    more = [formats.access_letters(F.col("access")).alias("access"), formats.date_text(F.col("mod_when")).alias("modified"), formats.size_text(F.col("data_len")).alias("length"), formats.comp_percent(F.col("data_size"), F.col("data_len")).alias("percent"), F.coalesce("rsrc_len", F.lit(0)).alias("rsrc_len")]
+    more = [formats.access_letters(F.col("access")).alias("access"), formats.date_text(F.col("mod_when")).alias("modified"), formats.size_text(F.col("data_len"), 512).alias("length"), formats.comp_percent(F.col("data_size"), F.col("data_len")).alias("percent"), F.coalesce("rsrc_len", F.lit(0)).alias("rsrc_len")]
     return entries.select(*narrow, *(more if wide else []))
 
 
 def best_format(data_fmt: Column, rsrc_fmt: Column) -> Column:
-    """The data fork's format, unless it is unknown or stored plain."""
-    return F.coalesce(F.when(~data_fmt.isin("unknown", "plain"), data_fmt), F.when(~rsrc_fmt.isin("unknown", "plain"), rsrc_fmt), data_fmt)
+    """The data fork's format; the resource fork's, if that is known, where the data fork's
+    is unknown or plain."""
+    known = F.when(data_fmt != "unknown", data_fmt)
+    return F.coalesce(F.when((rsrc_fmt != "unknown") & (known.isNull() | (known == "plain")), rsrc_fmt), known, F.lit("unknown"))
 
 
 def overlay(entries: DataFrame, sidecars: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
+#: Rows up to which a dimension table is broadcast.
+FEW_ROWS = 10_000
+
+
 def usage(claims: DataFrame, bitmap: DataFrame) -> DataFrame:
     """(chunk, owner, marked, n_claims, conflict) of every chunk that is claimed or marked.
 
@@ -52,10 +56,11 @@ def within_partitions(chunks: DataFrame, partitions: DataFrame, width: int = 102
 
 def described(rows: DataFrame, table: DataFrame, kind: str, aux: str) -> DataFrame:
     """rows with the description of their type: of the table's ranges (type, low, high,
-    pos, description) that hold, the one with the highest pos.  The table is a small fixed
-    dimension."""
+    pos, description) that hold, the one with the highest pos.  Distinct keys are joined by
+    type, with the range as a further condition; the table is broadcast where it is small."""
     keys = rows.select(kind, aux).distinct()
-    hits = keys.join(F.broadcast(table), (keys[kind] == table["type"]) & keys[aux].between(table["low"], table["high"]))
+    small = table.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    hits = keys.join(F.broadcast(table) if small else table, (keys[kind] == table["type"]) & keys[aux].between(table["low"], table["high"]))
     best = hits.groupBy(kind, aux).agg(F.max_by("description", "pos").alias("description"))
     return rows.join(best, [kind, aux], "left")
 

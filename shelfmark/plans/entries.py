@@ -22,12 +22,10 @@ DOCUMENT_ENTRIES = """SELECT 0::BIGINT AS container_id, doc_id AS ordinal, sourc
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned large line items claim their part's chunk, in order of their order key."""
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 48")
-    return rows.select(F.col("l_partkey").alias("chunk"), F.col("l_orderkey").alias("owner"), F.col("l_orderkey").alias("scan_ordinal"))
+    """Line items claim their order's chunk, in order of their part's key."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("owner"), F.col("l_partkey").alias("scan_ordinal"))
 
 
 def bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts mark their chunk where their size is even; every tenth is unknown."""
-    rows = table(spark, sf_dir, "part").where("p_partkey % 10 <> 0")
-    return rows.select(F.col("p_partkey").alias("chunk"), (F.col("p_size") % 2 == 0).alias("marked"))
+    """Orders mark their chunk unless they are finished."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk"), (F.col("o_orderstatus") != "F").alias("marked"))

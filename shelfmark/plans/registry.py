@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bits, charsets, dates, formats, paths
+from ..functions import bits, charsets, dates, formats, labels, names, paths
 from ..operators import catalog as C
 from ..operators import chunks as K
 from ..sources import containers
@@ -50,10 +50,10 @@ def list_paths(spark, sf_dir):
 SELECT container_id, ordinal, path, '$' || printf('%02x', file_type) AS "type", '$' || CASE WHEN aux_type < 65536 THEN printf('%04x', aux_type) END AS aux, data_len,
   CASE WHEN toxic = 1 THEN '!' || lang ELSE lang END AS format,
   CASE WHEN access & 128 > 0 THEN 'd' ELSE '' END || CASE WHEN access & 64 > 0 THEN 'n' ELSE '' END || CASE WHEN access & 32 > 0 THEN 'b' ELSE '' END
-    || CASE WHEN access & 4 > 0 THEN 'i' ELSE '' END || CASE WHEN access & 2 > 0 THEN 'w' ELSE '' END || CASE WHEN access & 1 > 0 THEN 'r' ELSE '' END AS access,
+    || CASE WHEN access & 16 > 0 THEN '?' ELSE '' END || CASE WHEN access & 8 > 0 THEN '?' ELSE '' END || CASE WHEN access & 4 > 0 THEN 'i' ELSE '' END || CASE WHEN access & 2 > 0 THEN 'w' ELSE '' END || CASE WHEN access & 1 > 0 THEN 'r' ELSE '' END AS access,
   '[No Date]' AS modified,
-  CASE WHEN data_len < 10000 THEN data_len || 'B' ELSE printf('%.1fKB', data_len / 1024.0) END AS length,
-  CASE WHEN data_len = 0 THEN '--%' WHEN data_size = 0 THEN '0%' WHEN round_even(data_size * 100.0 / data_len, 0) > 999 THEN '999%'
+  data_len // 512 || ' block' || CASE WHEN data_len // 512 = 1 THEN '' ELSE 's' END AS length,
+  CASE WHEN data_len = 0 AND data_size = 0 THEN '--%' WHEN data_len = 0 THEN '0%' WHEN round_even(data_size * 100.0 / data_len, 0) > 999 THEN '999%'
     ELSE round_even(data_size * 100.0 / data_len, 0)::BIGINT || '%' END AS percent,
   coalesce(quality, 0)::BIGINT AS rsrc_len
 FROM e LEFT JOIN labels ON e.ordinal = labels.doc_id""",
@@ -70,9 +70,9 @@ def catalog_narrow(spark, sf_dir):
     return C.catalog(document_entries(spark, sf_dir).withColumn("data_fmt", F.col("lang")))
 
 
-@registered("glob_filter", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^(?:[^/]*1|.[^/]*7[^/])$', 'is')")
+@registered("glob_filter", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^(?:[^/]*e[^/]*BOLT|.ed[^/]*)$', 'is')")
 def glob_filter(spark, sf_dir):
-    return C.glob_filter(table(spark, sf_dir, "part"), ["*1", "?*7?"], "p_name", subtree=False).select("p_partkey", "p_name")
+    return C.glob_filter(table(spark, sf_dir, "part"), ["*e*BOLT", "?ed*"], "p_name", subtree=False).select("p_partkey", "p_name")
 
 
 @registered("glob_subtree", f"{E_} SELECT ordinal, path FROM e WHERE regexp_matches(path, '^(?:src1./(?:de|fr)|src2/en/[^/]*7)(?:/.*)?$', 'is')")
@@ -80,19 +80,19 @@ def glob_subtree(spark, sf_dir):
     return C.glob_filter(document_entries(spark, sf_dir), ["src1?/de", "SRC1?/fr/", "src2/en/*7"]).select("ordinal", "path")
 
 
-@registered("glob_unmatched", "SELECT * FROM (VALUES ('*1'), ('no such*'), ('?*7?')) AS t(pattern), LATERAL (SELECT coalesce(bool_or(regexp_matches(p_name, CASE pattern WHEN '*1' THEN '^[^/]*1(/.*)?$' WHEN 'no such*' THEN '^no such[^/]*(/.*)?$' ELSE '^.[^/]*7[^/](/.*)?$' END, 'is')), false) AS used FROM part)")
+@registered("glob_unmatched", "SELECT * FROM (VALUES ('*bolt'), ('no such*'), ('?ed*')) AS t(pattern), LATERAL (SELECT coalesce(bool_or(regexp_matches(p_name, CASE pattern WHEN '*bolt' THEN '^[^/]*bolt(/.*)?$' WHEN 'no such*' THEN '^no such[^/]*(/.*)?$' ELSE '^.ed[^/]*(/.*)?$' END, 'is')), false) AS used FROM part)")
 def glob_unmatched(spark, sf_dir):
-    return C.unmatched(table(spark, sf_dir, "part"), ["*1", "no such*", "?*7?"], "p_name")
+    return C.unmatched(table(spark, sf_dir, "part"), ["*bolt", "no such*", "?ed*"], "p_name")
 
 
-@registered("find_next", "SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey <= 100, p_partkey) AS n FROM part WHERE contains(lower(p_name), '9')) WHERE n = 1")
+@registered("find_next", "SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey <= 100, p_partkey) AS n FROM part WHERE contains(lower(p_name), 'e b')) WHERE n = 1")
 def find_next(spark, sf_dir):
-    return C.find(table(spark, sf_dir, "part"), "9", "p_name", "p_partkey", 100).select("p_partkey", "p_name")
+    return C.find(table(spark, sf_dir, "part"), "E b", "p_name", "p_partkey", 100).select("p_partkey", "p_name")
 
 
-@registered("find_previous", "SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey >= 3, p_partkey DESC) AS n FROM part WHERE contains(lower(p_name), '9')) WHERE n = 1")
+@registered("find_previous", "SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey >= 3, p_partkey DESC) AS n FROM part WHERE contains(lower(p_name), 'e b')) WHERE n = 1")
 def find_previous(spark, sf_dir):
-    return C.find(table(spark, sf_dir, "part"), "9", "p_name", "p_partkey", 3, back=True).select("p_partkey", "p_name")
+    return C.find(table(spark, sf_dir, "part"), "E b", "p_name", "p_partkey", 3, back=True).select("p_partkey", "p_name")
 
 
 @registered("sidecar_overlay", f"{E_} SELECT ordinal, path, coalesce(quality + 1000, e.data_len)::BIGINT AS data_len, coalesce(toxic, e.file_type)::SMALLINT AS file_type FROM e LEFT JOIN labels ON ordinal = doc_id")
@@ -128,8 +128,8 @@ def type_range_desc(spark, sf_dir):
     return K.described(rows, kinds, "kind", "aux").select("p_partkey", "kind", "aux", "description")
 
 
-USED = """WITH c AS (SELECT l_partkey AS chunk, min(l_orderkey) AS owner, count(*) AS n_claims FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48 GROUP BY 1),
-b AS (SELECT p_partkey AS chunk, p_size % 2 = 0 AS marked FROM part WHERE p_partkey % 10 <> 0),
+USED = """WITH c AS (SELECT l_orderkey AS chunk, min(l_partkey) AS owner, count(*) AS n_claims FROM lineitem GROUP BY 1),
+b AS (SELECT o_orderkey AS chunk, o_orderstatus <> 'F' AS marked FROM orders),
 u AS (SELECT chunk, owner, coalesce(marked, false) AS marked, coalesce(n_claims, 0) AS n_claims, coalesce(n_claims, 0) > 1 AS conflict FROM c FULL JOIN b USING (chunk))"""
 
 
@@ -289,7 +289,7 @@ def difference_marked(spark, sf_dir):
     return table(spark, sf_dir, "part").where("p_size % 2 = 0").join(claimed, "p_partkey", "left_anti").select("p_partkey")
 
 
-PERCENT = "CASE WHEN {1} = 0 THEN '--%' WHEN {0} = 0 THEN '0%' WHEN round_even({0} * 100.0 / {1}, 0) < 1 THEN '<1%' WHEN round_even({0} * 100.0 / {1}, 0) > 999 THEN '999%' ELSE round_even({0} * 100.0 / {1}, 0)::BIGINT || '%' END"
+PERCENT = "CASE WHEN {1} = 0 AND {0} = 0 THEN '--%' WHEN {1} = 0 THEN '0%' WHEN round_even({0} * 100.0 / {1}, 0) = 0 AND {0} <> 0 THEN '<1%' WHEN round_even({0} * 100.0 / {1}, 0) > 999 THEN '999%' ELSE round_even({0} * 100.0 / {1}, 0)::BIGINT || '%' END"
 
 
 @registered("comp_percent", f"SELECT l_returnflag, l_linestatus, part, whole, {PERCENT.format('part', 'whole')} AS percent FROM (SELECT l_returnflag, l_linestatus, sum(CASE WHEN l_discount > 0.05 THEN l_quantity::BIGINT ELSE 0 END)::BIGINT AS part, sum(l_quantity::BIGINT)::BIGINT AS whole FROM lineitem GROUP BY 1, 2)")
@@ -299,10 +299,10 @@ def comp_percent(spark, sf_dir):
     return rows.withColumn("percent", formats.comp_percent(F.col("part"), F.col("whole")))
 
 
-@registered("size_text", "SELECT doc_id, CASE WHEN n_chars < 10000 THEN n_chars || 'B' ELSE printf('%.1fKB', n_chars / 1024.0) END AS size, ceil(n_chars / 512.0)::BIGINT || ' blocks' AS blocks FROM documents")
+@registered("size_text", "SELECT o_orderkey, CASE WHEN n < 10485760 THEN printf('%.0fKB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1fMB', n / 1048576.0) ELSE printf('%.1fGB', n / 1073741824.0) END AS size, CASE WHEN n < 10485760 THEN n // 512 || ' block' || CASE WHEN n // 512 = 1 THEN '' ELSE 's' END WHEN n < 1073741824 THEN printf('%.1fMB', n / 1048576.0) ELSE printf('%.1fGB', n / 1073741824.0) END AS blocks FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 7 + 600 AS n FROM orders)")
 def size_text(spark, sf_dir):
-    n = F.col("n_chars")
-    return table(spark, sf_dir, "documents").select("doc_id", formats.size_text(n).alias("size"), formats.size_text(n, 512).alias("blocks"))
+    n = F.col("o_orderkey") * F.col("o_orderkey") * 7 + 600
+    return table(spark, sf_dir, "orders").select("o_orderkey", formats.size_text(n).alias("size"), formats.size_text(n, 512).alias("blocks"))
 
 
 @registered("date_text", "SELECT o_orderkey, strftime(o_orderdate, '%d-%b-%y %H:%M') AS text FROM orders")
@@ -348,7 +348,7 @@ def date_status(spark, sf_dir):
     return rows.select("p_partkey", "month", dates.status(F.col("packed"), dates.from_prodos(F.col("packed"))).alias("status"))
 
 
-@registered("access_letters", "SELECT p_partkey, CASE WHEN p_size & 128 > 0 THEN 'd' ELSE '' END || CASE WHEN p_size & 64 > 0 THEN 'n' ELSE '' END || CASE WHEN p_size & 32 > 0 THEN 'b' ELSE '' END || CASE WHEN p_size & 4 > 0 THEN 'i' ELSE '' END || CASE WHEN p_size & 2 > 0 THEN 'w' ELSE '' END || CASE WHEN p_size & 1 > 0 THEN 'r' ELSE '' END AS letters FROM part")
+@registered("access_letters", "SELECT p_partkey, CASE WHEN p_size & 128 > 0 THEN 'd' ELSE '' END || CASE WHEN p_size & 64 > 0 THEN 'n' ELSE '' END || CASE WHEN p_size & 32 > 0 THEN 'b' ELSE '' END || CASE WHEN p_size & 16 > 0 THEN '?' ELSE '' END || CASE WHEN p_size & 8 > 0 THEN '?' ELSE '' END || CASE WHEN p_size & 4 > 0 THEN 'i' ELSE '' END || CASE WHEN p_size & 2 > 0 THEN 'w' ELSE '' END || CASE WHEN p_size & 1 > 0 THEN 'r' ELSE '' END AS letters FROM part")
 def access_letters(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", formats.access_letters(F.col("p_size")).alias("letters"))
 
@@ -380,9 +380,11 @@ def records_split(spark, sf_dir):
     return K.records(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 100)
 
 
-@registered("hex_rows", """SELECT item_id, printf('%06x', i * 16) AS address, lower(substr(h, i * 32 + 1, 32)) AS bytes FROM (SELECT item_id, hex(encode(text)) AS h, unnest(range((strlen(text) + 15) // 16)) AS i FROM benchmark)""")
+@registered("hex_rows", """WITH r AS (SELECT item_id, i, substr(h, i * 32 + 1, 32) AS b FROM (SELECT item_id, hex(encode(text)) AS h, unnest(range((strlen(text) + 15) // 16)) AS i FROM benchmark)),
+c AS (SELECT item_id, i, b, list_transform(range(length(b) // 2), lambda k: ('0x' || substr(b, k * 2 + 1, 2))::INTEGER) AS v FROM r)
+SELECT item_id, printf('%06x', i * 16) AS address, lower(b) AS bytes, array_to_string(list_transform(v, lambda x: CASE WHEN x BETWEEN 32 AND 126 THEN chr(x) ELSE '.' END), '') AS shown FROM c""")
 def hex_rows(spark, sf_dir):
-    return K.hex_rows(table(spark, sf_dir, "benchmark"), "item_id", F.encode("text", "utf-8")).drop("shown")
+    return K.hex_rows(table(spark, sf_dir, "benchmark"), "item_id", F.encode("text", "utf-8"))
 
 
 @registered("path_parts", f"{E_} SELECT ordinal, ordinal::VARCHAR AS name, source || '/' || lang AS folder, 3 AS n_parts FROM e")
@@ -391,11 +393,11 @@ def path_parts(spark, sf_dir):
     return document_entries(spark, sf_dir).select("ordinal", paths.file_name(p).alias("name"), paths.directory_name(p).alias("folder"), F.size(paths.components(p)).alias("n_parts"))
 
 
-@registered("escaped_urls", "SELECT page_id, regexp_replace(url, '[<>:\"/\\\\|?*]', '_', 'g') AS host_name, url AS back FROM pages")
+@registered("escaped_urls", "SELECT page_id, regexp_replace(url, '[<>:\"/\\\\|?*]', '_', 'g') AS host_name, replace(replace(replace(replace(replace(url, '%', '%%'), '/', '%2f'), ':', '%3a'), '?', '%3f'), '*', '%2a') AS escaped, url AS back, regexp_replace(url, '[<>:\"\\\\|?*]', '_', 'g') AS host_path FROM pages")
 def escaped_urls(spark, sf_dir):
     url = F.col("url")
-    rows = table(spark, sf_dir, "pages").select("page_id", paths.host_name(url).alias("host_name"), paths.escaped_name(url).alias("escaped"))
-    return rows.select("page_id", "host_name", paths.unescaped_name(F.col("escaped")).alias("back"))
+    rows = table(spark, sf_dir, "pages").select("page_id", url, paths.host_name(url).alias("host_name"), paths.escaped_name(url).alias("escaped"))
+    return rows.select("page_id", "host_name", "escaped", paths.unescaped_name(F.col("escaped")).alias("back"), paths.host_path(url).alias("host_path"))
 
 
 @registered("hex_values", "SELECT o_orderkey, CASE WHEN o_orderkey < 256 THEN printf('$%02x', o_orderkey) WHEN o_orderkey < 65536 THEN printf('$%04x', o_orderkey) ELSE printf('$%06x', o_orderkey) END AS text, o_orderkey AS back FROM orders")
@@ -404,15 +406,15 @@ def hex_values(spark, sf_dir):
     return rows.withColumn("back", formats.parsed_int(F.col("text")))
 
 
-@registered("size_bytes", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size * 1024 WHEN 1 THEN p_size * 512 WHEN 2 THEN p_size * 4096 END::BIGINT AS bytes FROM part")
+@registered("size_bytes", "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN p_size * 1024 WHEN 1 THEN p_size * 512 WHEN 2 THEN p_size * 4096 WHEN 4 THEN p_size * 1099511627776 END::BIGINT AS bytes FROM part")
 def size_bytes(spark, sf_dir):
-    unit = F.element_at(F.array(*map(F.lit, ("KB", "blk", "trk", "parsec"))), F.col("p_size") % 4 + 1)
+    unit = F.element_at(F.array(*map(F.lit, ("KB", " blk ", "trk", "parsec", " TiB", "block"))), F.col("p_size") % 6 + 1)
     return table(spark, sf_dir, "part").select("p_partkey", formats.size_bytes(F.concat(F.col("p_size").cast("string"), unit)).alias("bytes"))
 
 
-@registered("int_lists", "SELECT user_id, string_agg(event_id, ',' ORDER BY event_id) AS text, list_sum(list(event_id))::BIGINT AS total FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+@registered("int_lists", "SELECT user_id, string_agg(event_id, ',' ORDER BY event_id) AS text, list_sum(list(event_id))::BIGINT AS total FROM events GROUP BY 1")
 def int_lists(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id % 7 = 0").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("a"))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("a"))
     text = rows.select("user_id", formats.int_list_text(F.col("a")).alias("text"))
     return text.withColumn("total", F.aggregate(formats.text_int_list(F.col("text")), F.lit(0).cast("long"), lambda s, x: s + x))
 
@@ -478,9 +480,14 @@ def stream_compare(spark, sf_dir):
     return part.join(other, "p_partkey").select("p_partkey", (F.encode("p_type", "utf-8") == F.col("other")).alias("same"))
 
 
-@registered("content_kinds", "SELECT page_id, CASE WHEN strlen(html) > 0 AND strlen(html) % 512 = 0 THEN 'sectors' END AS kind FROM pages")
+@registered("content_kinds", f"""SELECT p_partkey, CASE WHEN p_partkey % 14 < 12 THEN {[k for k, _, _ in containers.SIGNATURES]}[p_partkey % 14 + 1] WHEN p_partkey % 14 = 12 THEN 'sectors' END AS kind FROM part""")
 def content_kinds(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", containers.kind_of_content(F.encode("html", "utf-8")).alias("kind"))
+    # Names behind a signature, or padded to whole blocks, or as they are.
+    pick, name = (F.col("p_partkey") % 14).cast("int"), F.encode("p_name", "utf-8")
+    signature = F.get(F.array(*[F.lit(digits) for _, _, digits in containers.SIGNATURES]), pick)
+    whole = F.rpad(name, F.lit(512), F.lit(b"\x01"))
+    content = F.when(signature.isNotNull(), F.concat(F.unhex(signature), name)).when(pick == 12, whole).otherwise(name)
+    return table(spark, sf_dir, "part").select("p_partkey", containers.kind_of_content(content).alias("kind"))
 
 
 @registered("health_rollup", "SELECT n_regionkey, bool_and(c_acctbal >= 0) AS healthy, count_if(c_acctbal < 0)::BIGINT AS faults FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
@@ -496,12 +503,55 @@ def free_space(spark, sf_dir):
     return rows.groupBy("p_brand").agg(F.sum("free").cast("long").alias("free"))
 
 
-@registered("crc32_parts")
+# A checksum's table by rule, then one step for each byte.
+CRC = """WITH t AS (SELECT list(list_reduce(list_prepend({start}, range(8)), lambda c, i: {bit})::BIGINT ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),
+b AS (SELECT {key}, list_transform(range(strlen(text)), lambda k: ('0x' || substr(h, k * 2 + 1, 2))::BIGINT) AS v FROM (SELECT {key}, text, hex(encode(text)) AS h FROM {table}))"""
+SHIFT = {"crc32": "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END", "kermit": "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 33800) ELSE c >> 1 END", "xmodem": "CASE WHEN c & 32768 > 0 THEN xor(c << 1, 4129) & 65535 ELSE (c << 1) & 65535 END"}
+DOWN = "list_reduce(list_prepend({0}::BIGINT, v), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))"
+UP = "list_reduce(list_prepend(0::BIGINT, v), lambda c, x: xor((c << 8) & 65535, t[(xor(c >> 8, x) & 255) + 1]))"
+
+
+@registered("crc32_parts", f"{CRC.format(start='n', bit=SHIFT['crc32'], key='doc_id', table='documents')} SELECT doc_id, xor({DOWN.format(4294967295)}, 4294967295)::BIGINT AS crc32 FROM b, t")
 def crc32_parts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", bits.crc32(F.encode("text", "utf-8")).alias("crc32"))
 
 
-@registered("crc16_parts")
+@registered("crc16_parts", f"""WITH x AS ({CRC.format(start='n << 8', bit=SHIFT['xmodem'], key='page_id', table="(SELECT page_id, coalesce(url, '') AS text FROM pages)")} SELECT page_id, ({UP})::INTEGER AS xmodem FROM b, t),
+y AS ({CRC.format(start='n', bit=SHIFT['kermit'], key='page_id', table="(SELECT page_id, coalesce(url, '') AS text FROM pages)")} SELECT page_id, ({DOWN.format(0)})::INTEGER AS kermit FROM b, t)
+SELECT page_id, xmodem, kermit FROM x JOIN y USING (page_id)""")
 def crc16_parts(spark, sf_dir):
-    data = F.encode("text", "utf-8")
-    return table(spark, sf_dir, "benchmark").select("item_id", bits.crc16_xmodem(data).alias("xmodem"), bits.crc16_kermit(data).alias("kermit"))
+    data = F.encode(F.coalesce("url", F.lit("")), "utf-8")
+    return table(spark, sf_dir, "pages").select("page_id", bits.crc16_xmodem(data).alias("xmodem"), bits.crc16_kermit(data).alias("kermit"))
+
+
+@registered("pascal_dates", """SELECT o_orderkey, m, y, CASE WHEN m = 0 OR y >= 100 THEN 'none' WHEN m > 12 OR d = 0 OR d > day(last_day(make_date(CASE WHEN y < 40 THEN 2000 ELSE 1900 END + y, least(greatest(m, 1), 12), 1))) THEN 'invalid' ELSE 'valid' END AS status
+FROM (SELECT o_orderkey, o_orderkey % 16 AS m, (o_orderkey // 16) % 32 AS d, (o_orderkey * 7) % 128 AS y FROM orders)""")
+def pascal_dates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (k % 16).alias("m"), ((k * 7) % 128).alias("y"), (k % 16 + F.floor(k / 16) % 32 * 16 + (k * 7) % 128 * 512).alias("packed"))
+    x = F.col("packed")
+    return rows.select("o_orderkey", "m", "y", dates.status(x, dates.from_pascal(x), dates.pascal_none(x)).alias("status"))
+
+
+@registered("extension_kinds", "WITH x(i, ext, kinds, ord, can) AS (VALUES " + ", ".join(f"({i}, '{e}', '{'+'.join(k)}', {'NULL' if o is None else repr(o)}, {c})" for i, (e, (k, o, c)) in enumerate([*containers.EXTENSIONS.items(), ("bin", ((), None, False))])) + ") SELECT p_partkey, ext, kinds, ord AS sector_order, can AS creatable FROM part JOIN x ON i = p_partkey % " + str(len(containers.EXTENSIONS) + 1))
+def extension_kinds(spark, sf_dir):
+    every = F.array(*map(F.lit, [*containers.EXTENSIONS, "bin"]))
+    file = F.concat("p_name", F.lit("."), F.upper(F.get(every, (F.col("p_partkey") % (len(containers.EXTENSIONS) + 1)).cast("int"))))
+    ext = containers.extension(file)
+    return table(spark, sf_dir, "part").select("p_partkey", ext.alias("ext"), F.array_join(containers.kinds_of_extension(ext), "+").alias("kinds"), containers.order_of_extension(ext).alias("sector_order"), containers.creatable(ext).alias("creatable"))
+
+
+TYPE_CASE = lambda of: "CASE t " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in of.items()) + " ELSE '?' END"
+
+
+@registered("type_names", f"SELECT p_partkey, t AS file_type, {TYPE_CASE(labels.DOS_TYPES)} AS dos, {TYPE_CASE(labels.PASCAL_TYPES)} AS pascal FROM (SELECT p_partkey, (p_partkey % 256)::INTEGER AS t FROM part)")
+def type_names(spark, sf_dir):
+    t = (F.col("p_partkey") % 256).cast("int")
+    return table(spark, sf_dir, "part").select("p_partkey", t.alias("file_type"), labels.dos_type(t).alias("dos"), labels.pascal_type(t).alias("pascal"))
+
+
+@registered("office_names", """SELECT c_custkey, CASE WHEN t BETWEEN 25 AND 27 THEN array_to_string(list_transform(range(length(n)), lambda i: CASE WHEN (((a & 255) << 8) | (a >> 8)) & (32768 >> i) > 0 THEN replace(lower(substr(n, i + 1, 1)), '.', ' ') ELSE replace(upper(substr(n, i + 1, 1)), ' ', '.') END), '') ELSE n END AS name
+FROM (SELECT c_custkey, substr(c_name, 1, 15) AS n, (c_custkey % 5 + 23)::INTEGER AS t, ((c_custkey * 7919) % 65536)::INTEGER AS a FROM customer)""")
+def office_names(spark, sf_dir):
+    name, kind, aux = F.substring("c_name", 1, 15), (F.col("c_custkey") % 5 + 23).cast("int"), (F.col("c_custkey") * 7919 % 65536).cast("int")
+    return table(spark, sf_dir, "customer").select("c_custkey", names.office_cased(name, kind, aux).alias("name"))

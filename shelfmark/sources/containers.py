@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,13 +20,35 @@ from ..functions import bits
 
 BLOCK = 512
 
-# Extensions and the kinds that they suggest, the likeliest first.
-EXTENSIONS = {
-    "2mg": ("2img",), "2img": ("2img",), "dsk": ("sectors",), "do": ("sectors",), "po": ("sectors",), "d13": ("sectors",), "hdv": ("sectors",), "iso": ("sectors",),
-    "nib": ("nibbles",), "woz": ("woz",), "moof": ("moof",), "dc": ("diskcopy",), "dc6": ("diskcopy", "sectors"), "image": ("diskcopy", "sectors"), "img": ("sectors", "diskcopy"), "app": ("trackstar",),
-    "shk": ("nufx",), "sdk": ("nufx",), "bxy": ("nufx", "binary2"), "bse": ("nufx",), "sea": ("nufx",), "bny": ("binary2",), "bqy": ("binary2",), "acu": ("applelink",),
-    "zip": ("zip",), "gz": ("gzip",), "as": ("applesingle",), "bin": ("macbinary",), "macbin": ("macbinary",), "wav": ("audio",), "dart": ("dart",),
-}
+# Fixed values: (extensions, kinds that they suggest, the likeliest first, the order of
+# sectors that they hint at, whether files may be created under them).
+EXTENSION_ROWS = (
+    (("co",), ("sectors",), "cpm", True),
+    (("do", "d13"), ("sectors",), "dos", True),
+    (("po", "iso", "hdv"), ("sectors",), "prodos", True),
+    (("img",), ("sectors", "diskcopy", "dart"), "physical", False),
+    (("dsk",), ("sectors", "diskcopy"), "dos", True),
+    (("nib",), ("nibbles",), "physical", True),
+    (("nb2",), ("nibbles",), "physical", False),
+    (("raw",), ("sectors", "nibbles"), "dos", False),
+    (("woz",), ("woz",), "physical", True),
+    (("moof",), ("moof",), "physical", True),
+    (("2mg", "2img"), ("2img",), None, True),
+    (("dart",), ("dart",), "prodos", True),
+    (("dc", "dc42", "dc6", "image"), ("diskcopy", "sectors", "dart"), "prodos", True),
+    (("app",), ("trackstar",), "physical", True),
+    (("zip",), ("zip",), None, True),
+    (("shk", "sdk"), ("nufx",), None, True),
+    (("bxy", "sea", "bse"), ("nufx",), None, False),
+    (("bny", "bqy"), ("binary2",), None, True),
+    (("acu",), ("applelink",), None, True),
+    (("wav",), ("audio",), None, True),
+    (("gz",), ("gzip",), None, True),
+    (("as",), ("applesingle",), None, True),
+    (("macbin",), ("macbinary",), None, True),
+    (("ddd",), ("ddd",), "physical", True),
+)
+EXTENSIONS = {e: (kinds, order, create) for many, kinds, order, create in EXTENSION_ROWS for e in many}
 
 # Fixed values: (kind, byte place, hex digits) of signatures.
 SIGNATURES = (
@@ -45,10 +67,23 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
+def _by_extension(ext: Column, value: Callable) -> Column:
+    return F.create_map(*[x for e, row in EXTENSIONS.items() for x in (F.lit(e), value(row))])[F.lower(ext)]
+
+
 def kinds_of_extension(ext: Column) -> Column:
     """Kinds that an extension suggests, in order; none is an empty list."""
-    table = F.create_map(*[x for k, v in EXTENSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.coalesce(table[F.lower(ext)], F.array().cast("array<string>"))
+    return F.coalesce(_by_extension(ext, lambda r: F.array(*map(F.lit, r[0]))), F.array().cast("array<string>"))
+
+
+def order_of_extension(ext: Column) -> Column:
+    """The sector order that an extension hints at; null for none."""
+    return _by_extension(ext, lambda r: F.lit(r[1]).cast("string"))
+
+
+def creatable(ext: Column) -> Column:
+    """Whether files of this extension may be created; false for an unknown one."""
+    return F.coalesce(_by_extension(ext, lambda r: F.lit(r[2])), F.lit(False))
 
 
 def kind_of_content(content: Column) -> Column:

@@ -18,15 +18,23 @@ def write_csv(rows: DataFrame, folder: str) -> None:
 
 
 def replace_table(rows: DataFrame, folder: str) -> None:
-    """Write beside the table, then swap: readers see the old rows or the new ones, and a
-    failed job leaves the old."""
+    """Write beside the table, then swap by two renames.  A failed write leaves the old
+    rows; a failed swap brings them back and raises.  Between the renames there is no
+    table, so readers should not start meanwhile."""
     spark = rows.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
-    staged, old = path(f"{folder}.staged-{uuid.uuid4().hex}"), path(f"{folder}.old-{uuid.uuid4().hex}")
+    table, staged, old = (path(folder + end) for end in ("", f".staged-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}"))
     rows.write.parquet(staged.toString())
     fs = staged.getFileSystem(conf)
-    if fs.exists(path(folder)):
-        fs.rename(path(folder), old)
-    fs.rename(staged, path(folder))
-    fs.delete(old, True)
+    had = fs.exists(table)
+    if had and not fs.rename(table, old):
+        fs.delete(staged, True)
+        raise OSError(f"{folder} can't be moved aside")
+    if not fs.rename(staged, table):
+        if had:
+            fs.rename(old, table)
+        fs.delete(staged, True)
+        raise OSError(f"{folder} can't be replaced")
+    if had:
+        fs.delete(old, True)
