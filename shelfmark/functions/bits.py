@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def uint(data: Column, at: int | Column, width: int, *, big: bool = False) -> Column:
     """The unsigned integer of 1 to 7 bytes at a byte place counted from 0."""
     part = F.substring(data, at + 1, F.lit(width))
-    digits = F.hex(part) if big else F.array_join(F.reverse(F.regexp_extract_all(F.hex(part), F.lit("(..)"), F.lit(1))), "")
+    digits = F.hex(part) if big else F.concat(*[F.hex(F.substring(part, i + 1, 1)) for i in reversed(range(width))])
     return F.when(F.octet_length(part) == width, F.conv(digits, 16, 10).cast("long"))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import bits, charsets, dates, formats, labels, names, paths
 from ..operators import catalog as C
 from ..operators import chunks as K
-from ..sources import containers
+from ..operators.lineage import cut
+from ..sources import archives, containers, volumes
 from .entries import DOCUMENT_ENTRIES, bitmap, claims, document_entries, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -555,3 +556,76 @@ FROM (SELECT c_custkey, substr(c_name, 1, 15) AS n, (c_custkey % 5 + 23)::INTEGE
 def office_names(spark, sf_dir):
     name, kind, aux = F.substring("c_name", 1, 15), (F.col("c_custkey") % 5 + 23).cast("int"), (F.col("c_custkey") * 7919 % 65536).cast("int")
     return table(spark, sf_dir, "customer").select("c_custkey", names.office_cased(name, kind, aux).alias("name"))
+
+
+def _be(x, width):
+    """x as so many bytes in hex, the highest first."""
+    return F.lpad(F.hex(x.cast("long")), 2 * width, "0")
+
+
+def _le(x, width):
+    return F.array_join(F.reverse(F.regexp_extract_all(_be(x, width), F.lit("(..)"), F.lit(1))), "")
+
+
+def _text(s, width):
+    return F.rpad(F.hex(F.encode(s, "ISO-8859-1")), 2 * width, "0")
+
+
+def _files(rows, key, *parts):
+    """(path, content): a file for each row, of parts in hex.  Cut here, or the optimizer
+    would build a file anew wherever a reader looks at its bytes."""
+    return cut(rows.select(F.col(key).cast("string").alias("path"), F.unhex(F.concat(*parts)).alias("content")))
+
+
+@registered("macbinary_headers", "SELECT p_partkey::VARCHAR AS path, p_name AS name, upper(substr(p_type, 1, 4)) AS type, p_size + 100 AS data_len, p_partkey % 300 AS rsrc_len, 128 + (p_size + 227) // 128 * 128 AS rsrc_start, p_partkey % 2 = 0 AS whole FROM part")
+def macbinary_headers(spark, sf_dir):
+    zero = lambda n: F.lit("00" * n)
+    rows = table(spark, sf_dir, "part").withColumn("data_len", F.col("p_size") + 100).withColumn("rsrc_len", F.col("p_partkey") % 300)
+    head = F.concat(zero(1), _be(F.length("p_name"), 1), _text(F.col("p_name"), 63), _text(F.upper(F.substring("p_type", 1, 4)), 4), F.lit("54657374"), zero(10), _be(F.col("data_len"), 4), _be(F.col("rsrc_len"), 4), zero(33))
+    # Every other checksum is wrong.
+    crc = bits.crc16_xmodem(F.unhex(head)).bitwiseXOR((F.col("p_partkey") % 2).cast("int"))
+    data = F.rpad(F.lit(""), 2 * (F.ceil(F.col("data_len") / 128) * 128 + F.col("rsrc_len")).cast("int"), F.lit("41"))
+    files = _files(rows, "p_partkey", head, _be(crc, 2), zero(2), data)
+    return archives.mac_binary(files).select("path", "name", "type", "data_len", "rsrc_len", "rsrc_start", "whole")
+
+
+@registered("applesingle_entries", """SELECT p_partkey::VARCHAR AS path, p_partkey % 3 = 0 AS double, e::INTEGER AS entry, [3, 9, 1, 2][e + 1]::BIGINT AS kind, 100 + e * p_size AS start, p_size + e AS length FROM part, range(p_partkey % 5) AS r(e) WHERE e < 4""")
+def applesingle_entries(spark, sf_dir):
+    k, n = F.col("p_partkey"), F.least(F.col("p_partkey") % 5, F.lit(4))
+    each = F.transform(F.slice(F.array(*map(F.lit, (3, 9, 1, 2))), F.lit(1), n.cast("int")), lambda kind, i: F.concat(_be(kind, 4), _be(100 + i * F.col("p_size"), 4), _be(F.col("p_size") + i, 4)))
+    files = _files(table(spark, sf_dir, "part"), "p_partkey", F.when(k % 3 == 0, "00051607").otherwise("00051600"), F.lit("00020000" + "00" * 16), _be(n, 2), F.array_join(each, ""))
+    return archives.apple_single(files)
+
+
+@registered("binary2_records", """WITH l AS (SELECT l_orderkey, l_partkey, l_quantity::BIGINT * 7 AS len, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity) - 1 AS record FROM lineitem)
+SELECT l_orderkey::VARCHAR AS path, record::INTEGER AS record, 'PART.' || l_partkey AS name, l_partkey % 256 AS file_type, l_partkey % 65536 AS aux_type, len AS length,
+  (128 + coalesce(sum(128 + (len + 127) // 128 * 128) OVER (PARTITION BY l_orderkey ORDER BY record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM l""")
+def binary2_records(spark, sf_dir):
+    # An archive for each order, with a record for each of its items.
+    zero = lambda n: F.lit("00" * n)
+    length = (F.col("l_quantity").cast("long") * 7).alias("len")
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", length))).alias("items"))
+    left = F.size("items") - 1
+
+    def record(x, i):
+        name = F.concat(F.lit("PART."), x["l_partkey"].cast("string"))
+        head = F.concat(F.lit("0A474CC3"), _le(x["l_partkey"] % 256, 1), _le(x["l_partkey"] % 65536, 2), F.lit("01"), zero(10), F.lit("0200"), _le(x["len"], 3), _be(F.length(name), 1), _text(name, 103), _be(left - i, 1))
+        return F.concat(head, F.rpad(F.lit(""), (F.ceil(x["len"] / 128) * 256).cast("int"), F.lit("42")))
+
+    files = _files(items, "l_orderkey", F.array_join(F.transform("items", record), ""))
+    return archives.binary_two(files).select("path", "record", "name", "file_type", "aux_type", "length", "start")
+
+
+@registered("prodos_tree", """SELECT 'disk' AS path, '' AS folder, 'R' || r_regionkey AS name, 13 AS storage, (10 + r_regionkey)::BIGINT AS key, 512 AS data_len FROM region
+UNION ALL SELECT 'disk', 'R' || n_regionkey, 'N' || n_nationkey, 1, (100 + n_nationkey)::BIGINT, n_nationkey * 3 FROM nation""")
+def prodos_tree(spark, sf_dir):
+    # A volume whose directories are regions, and their files nations.
+    zero = lambda n: F.lit("00" * n)
+    entry = lambda kind, name, key, length: F.concat(_be(kind * 16 + F.length(name), 1), _text(name, 15), F.lit("04"), _le(key, 2), _le(F.lit(1), 2), _le(length, 3), zero(15))
+    block = lambda entries: F.unhex(F.rpad(F.concat(zero(4), F.lit("E4" + "00" * 38), F.array_join(entries, "")), 1024, "0"))
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    files = nation.groupBy("n_regionkey").agg(F.collect_list(entry(F.lit(1), name("N", "n_nationkey"), F.col("n_nationkey") + 100, F.col("n_nationkey") * 3)).alias("e"))
+    below = files.select(F.lit("disk").alias("path"), (F.col("n_regionkey") + 10).alias("chunk"), block(F.col("e")).alias("data"))
+    top = region.agg(F.collect_list(entry(F.lit(13), name("R", "r_regionkey"), F.col("r_regionkey") + 10, F.lit(512))).alias("e")).select(F.lit("disk").alias("path"), F.lit(2).alias("chunk"), block(F.col("e")).alias("data"))
+    return volumes.prodos_directory(top.unionByName(below)).select("path", "folder", "name", "storage", "key", "data_len")

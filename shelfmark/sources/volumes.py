@@ -1,8 +1,9 @@
 """Directories and partition maps of disk images, by byte expressions.
 
-Each reader takes a few blocks of every image and explodes their fixed-size slots, so a
-scan of many images is one pass without a shuffle, but for Pascal volumes, whose slots
-cross block borders: there the four directory blocks of each image are put together.
+Most readers take a few blocks of every image and explode their fixed-size slots, so a scan
+of many images is one pass without a shuffle.  Pascal volumes' slots cross block borders, so
+the four directory blocks of each image are put together; ProDOS directories are followed
+from block to block by joins.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits, charsets, dates
+from ..operators.lineage import cut
 
 
 def _slots(rows: DataFrame, key: list[str], data: str, first: int, size: int, count: int) -> DataFrame:
@@ -19,23 +21,45 @@ def _slots(rows: DataFrame, key: list[str], data: str, first: int, size: int, co
     return at.select(*key, "slot", F.substring(data, F.col("slot") * size + first + 1, F.lit(size)).alias("e"))
 
 
-def prodos_directory(blocks: DataFrame, key_block: int = 2) -> DataFrame:
-    """(path, chunk, slot, name, storage, file_type, key, blocks_used, data_len, aux_type,
-    access, created): file rows of a ProDOS volume directory, from chunks().
-
-    A directory block holds 13 entries of 39 bytes after four bytes of links.  The four
-    blocks that a volume directory commonly has are read; entries without a storage type
-    are free, and the volume's own header is left out.
-    """
-    slots = blocks.where(F.col("chunk").between(key_block, key_block + 3)).select("path", "chunk", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("slot"), "data").select("path", "chunk", "slot", F.substring("data", F.col("slot") * 39 + 5, F.lit(39)).alias("e"))
+def _prodos_entries(blocks: DataFrame, keep: list[str]) -> DataFrame:
+    """The file rows of directory blocks (path, chunk, data, and the columns to keep): 13
+    entries of 39 bytes after four bytes of links.  Entries without a storage type are free,
+    and headers of volumes and directories are left out."""
+    slots = _slots(blocks, ["path", "chunk", *keep], "data", 4, 39, 13)
     e = F.col("e")
     first = bits.uint(e, 0, 1)
     storage = F.shiftright(first, 4)
     stamp = lambda at: F.shiftleft(bits.uint(e, at + 2, 2), 16) + bits.uint(e, at, 2)
-    rows = slots.select("path", "chunk", "slot", F.decode(F.substring(e, F.lit(2), first.bitwiseAND(F.lit(15)).cast("int")), "ISO-8859-1").alias("name"), storage.alias("storage"), bits.uint(e, 16, 1).alias("file_type"), bits.uint(e, 17, 2).alias("key"), bits.uint(e, 19, 2).alias("blocks_used"), bits.uint(e, 21, 3).alias("data_len"), bits.uint(e, 31, 2).alias("aux_type"), bits.uint(e, 30, 1).alias("access"), dates.from_prodos(stamp(24)).alias("created"))
+    rows = slots.select("path", "chunk", *keep, "slot", F.decode(F.substring(e, F.lit(2), first.bitwiseAND(F.lit(15)).cast("int")), "ISO-8859-1").alias("name"), storage.alias("storage"), bits.uint(e, 16, 1).alias("file_type"), bits.uint(e, 17, 2).alias("key"), bits.uint(e, 19, 2).alias("blocks_used"), bits.uint(e, 21, 3).alias("data_len"), bits.uint(e, 31, 2).alias("aux_type"), bits.uint(e, 30, 1).alias("access"), dates.from_prodos(stamp(24)).alias("created"))
     return rows.where(F.col("storage").between(1, 13))
 
 
+def prodos_directory(blocks: DataFrame, key_block: int = 2) -> DataFrame:
+    """(path, folder, chunk, slot, name, storage, file_type, key, blocks_used, data_len,
+    aux_type, access, created): all files of ProDOS volumes, from chunks() (path, chunk,
+    data).
+
+    Directory blocks are linked, and an entry of storage type 13 is a directory with a key
+    block of its own.  Each round reads the blocks that the round before has found, by a
+    join on image and block, and goes on to their links and directories, until nothing is
+    new; a block is read once, so damaged links can't go in circles.  folder is the path of
+    directories, empty for the volume's own.
+    """
+    spark = blocks.sparkSession
+    now = cut(blocks.where(F.col("chunk") == key_block).select("path", "chunk", F.lit("").alias("folder")).distinct())
+    seen, out = now, None
+    while not now.isEmpty():
+        here = cut(blocks.join(now, ["path", "chunk"]).select("path", "chunk", "data", "folder"))
+        rows = _prodos_entries(here, ["folder"])
+        out = rows if out is None else out.unionByName(rows)
+        following = here.select("path", bits.uint(F.col("data"), 2, 2).alias("chunk"), "folder").where("chunk > 0")
+        below = rows.where("storage = 13").select("path", F.col("key").alias("chunk"), F.concat_ws("/", F.when(F.col("folder") != "", F.col("folder")), "name").alias("folder"))
+        more = following.unionByName(below).groupBy("path", "chunk").agg(F.min("folder").alias("folder"))
+        now = cut(more.join(seen.select("path", F.col("chunk").cast("long").alias("chunk")), ["path", "chunk"], "left_anti"))
+        seen = seen.unionByName(now)
+    return _prodos_entries(spark.createDataFrame([], "path string, chunk int, data binary, folder string"), ["folder"]) if out is None else out
+
+
 def dos_catalog(files: DataFrame) -> DataFrame:
     """(path, sector, slot, name, kind, locked, sectors, list_track, list_sector): files of
     DOS 3.3 volumes in DOS-ordered images (path, content).
@@ -80,14 +104,14 @@ def cpm_directory(blocks: DataFrame, first_block: int, count: int) -> DataFrame:
     return named.groupBy("path", "user", "name").agg(F.count("*").alias("extents"), F.sum("records").alias("records"))
 
 
-def apple_partitions(blocks: DataFrame, most: int = 64) -> DataFrame:
+def apple_partitions(blocks: DataFrame) -> DataFrame:
     """(path, part, start, count, name, kind) of Apple partition maps: a block for each
-    partition from block 1 on, as many as the first says.  `most` is how many blocks are
-    looked at; the format itself has no such bound, so give more for odd disks."""
+    partition from block 1 on, as many as the first says."""
     d = F.col("data")
-    rows = blocks.where(F.col("chunk").between(1, most) & (F.hex(F.substring(d, 1, 2)) == "504D"))
+    maps = blocks.where((F.col("chunk") >= 1) & (F.hex(F.substring(d, 1, 2)) == "504D"))
+    size = maps.where("chunk = 1").select("path", bits.uint(d, 4, 4, big=True).alias("parts"))
     text = lambda at: F.substring_index(charsets.decoded(F.substring(d, at + 1, 32)), "\0", 1)
-    return rows.where(F.col("chunk") <= bits.uint(d, 4, 4, big=True)).select("path", F.col("chunk").alias("part"), bits.uint(d, 8, 4, big=True).alias("start"), bits.uint(d, 12, 4, big=True).alias("count"), text(16).alias("name"), text(48).alias("kind"))
+    return maps.join(size, "path").where("chunk <= parts").select("path", F.col("chunk").alias("part"), bits.uint(d, 8, 4, big=True).alias("start"), bits.uint(d, 12, 4, big=True).alias("count"), text(16).alias("name"), text(48).alias("kind"))
 
 
 def partition_blocks(blocks: DataFrame, partitions: DataFrame, width: int = 4096) -> DataFrame:

@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 from shelfmark.operators import chunks as K
-from shelfmark.sources import containers, sinks, volumes
+from shelfmark.sources import archives, containers, sinks, volumes
 from shelfmark.streaming import ingest
 
 
@@ -116,3 +116,32 @@ def test_volumes(spark, tmp_path):
     assert sorted((r.part, r.start, r["count"], r.name, r.kind) for r in parts.collect()) == [(1, 1, 2, "map", "Apple_HFS"), (2, 3, 4, "data", "Apple_HFS")]
     inside = volumes.partition_blocks(blocks, parts.where("part = 2"), 4).collect()
     assert sorted((r.chunk, r.data[0]) for r in inside) == [(0, 3), (1, 4), (2, 5), (3, 6)]
+
+
+def test_archive_headers(spark):
+    single = bytes.fromhex("00051600 00020000") + bytes(16) + struct.pack(">HIIIIII", 2, 3, 50, 4, 1, 54, 9)
+    mac = bytearray(128 + 128 + 5)
+    mac[1:6] = bytes([4]) + b"Name"
+    mac[65:73], mac[83:91], mac[91:95] = b"TEXTttxt", struct.pack(">II", 100, 5), struct.pack(">I", 3000000000)
+    head = lambda name, n, left: (b"\x0aGL\xc3\x04\x00\x20\x01" + bytes(10) + b"\x02\x00" + n.to_bytes(3, "little") + bytes([len(name)]) + name).ljust(127, b"\0") + bytes([left]) + bytes(-(-n // 128) * 128)
+    two = head(b"A", 0, 2) + head(b"DIR/B", 129, 1) + head(b"C", 5, 0)
+    nufx = bytes.fromhex("4EF546E96CE5") + struct.pack("<HI", 0, 7) + bytes([1, 2, 3, 99, 4, 5, 0, 1]) + bytes(8) + struct.pack("<H", 2) + bytes(8) + struct.pack("<I", 4000) + bytes(6)
+    files = spark.createDataFrame([("s", bytearray(single)), ("m", mac), ("b", bytearray(two)), ("cut", bytearray(two[:200])), ("n", bytearray(nufx)), ("e", bytearray())], "path string, content binary")
+    assert [tuple(r) for r in archives.apple_single(files).orderBy("entry").collect()] == [("s", False, 0, 3, 50, 4), ("s", False, 1, 1, 54, 9)]
+    r = archives.mac_binary(files).where("path = 'm'").first()
+    assert (r.name, r.type, r.creator, r.data_len, r.rsrc_len, r.rsrc_start, str(r.created), r.whole) == ("Name", "TEXT", "ttxt", 100, 5, 256, "1999-01-24 05:20:00", False)
+    got = [(r.path, r.record, r.name, r.length, r.start) for r in archives.binary_two(files).orderBy("path", "record").collect()]
+    assert got == [("b", 0, "A", 0, 128), ("b", 1, "DIR/B", 129, 256), ("b", 2, "C", 5, 640), ("cut", 0, "A", 0, 128)]
+    r = archives.nufx_archive(files).first()
+    assert (r.path, r.records, str(r.created), r.modified, r.version, r.length) == ("n", 7, "1999-06-05 03:02:01", None, 2, 4000)
+
+
+def test_prodos_links_and_folders(spark):
+    """A chain of directory blocks that goes in a circle, and a directory in a directory."""
+    entry = lambda kind, name, key: (bytes([kind << 4 | len(name)]) + name.ljust(15, b"\0") + b"\x04" + struct.pack("<HH", key, 1)).ljust(39, b"\0")
+    block = lambda after, *entries: (struct.pack("<HH", 0, after) + b"\xe4".ljust(39, b"\0") + b"".join(entries)).ljust(512, b"\0")
+    chunks = [("d", 2, block(3, entry(1, b"A", 50))), ("d", 3, block(2, entry(13, b"SUB", 9))), ("d", 9, block(0, entry(13, b"LOW", 11), entry(2, b"B", 60))), ("d", 11, block(0, entry(1, b"C", 70))), ("d", 12, block(0, entry(1, b"NOT", 70))), ("x", 7, bytes(512))]
+    df = spark.createDataFrame([(p, c, bytearray(d)) for p, c, d in chunks], "path string, chunk int, data binary")
+    got = sorted((r.folder, r.name, r.storage) for r in volumes.prodos_directory(df).collect())
+    assert got == [("", "A", 1), ("", "SUB", 13), ("SUB", "B", 2), ("SUB", "LOW", 13), ("SUB/LOW", "C", 1)]
+    assert volumes.prodos_directory(df.limit(0)).collect() == []
