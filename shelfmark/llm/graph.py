@@ -20,7 +20,9 @@ def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """edges with m of their node a.  A star's centre has a row for every node of it, so rows
     are salted and least, which has one row a node, is repeated for each salt."""
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    return salted.join(least.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))), ["a", "salt"]).drop("salt")
+    each = least.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    # Merged, as least grows with the corpus: never broadcast on an estimate.
+    return salted.join(each.hint("merge"), ["a", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
