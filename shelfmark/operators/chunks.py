@@ -80,10 +80,11 @@ def copied_blocks(source: DataFrame, target: DataFrame, start: int, to: int, cou
 def hex_rows(rows: DataFrame, key: str, data: Column, width: int = 16) -> DataFrame:
     """(key, address, bytes, shown): a row for each so many bytes, in hex and as text, dots
     for what can't be shown."""
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length(data) - 1) / width).cast("int"))).alias("i")
-    cut = rows.where(F.octet_length(data) > 0).select(key, data.alias("_d"), at).select(key, "i", F.substring("_d", F.col("i") * width + 1, F.lit(width)).alias("part"))
-    shown = F.regexp_replace(F.decode("part", "ISO-8859-1"), r"[^\x20-\x7e]", ".")
-    return cut.select(key, F.lower(F.lpad(F.hex(F.col("i").cast("long") * width), 6, "0")).alias("address"), F.lower(F.hex("part")).alias("bytes"), shown.alias("shown"))
+    # One pass over each value's digits, so that no row carries the whole value.
+    digits = F.regexp_extract_all(F.hex(data), F.lit(f".{{1,{2 * width}}}"), F.lit(0))
+    cut = rows.where(F.octet_length(data) > 0).select(key, F.posexplode(digits).alias("i", "part"))
+    shown = F.regexp_replace(F.decode(F.unhex("part"), "ISO-8859-1"), r"[^\x20-\x7e]", ".")
+    return cut.select(key, F.lower(F.lpad(F.hex(F.col("i").cast("long") * width), 6, "0")).alias("address"), F.lower("part").alias("bytes"), shown.alias("shown"))
 
 
 def records(rows: DataFrame, key: str, text: Column, length: int) -> DataFrame:

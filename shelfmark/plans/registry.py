@@ -629,3 +629,8 @@ def prodos_tree(spark, sf_dir):
     below = files.select(F.lit("disk").alias("path"), (F.col("n_regionkey") + 10).alias("chunk"), block(F.col("e")).alias("data"))
     top = region.agg(F.collect_list(entry(F.lit(13), name("R", "r_regionkey"), F.col("r_regionkey") + 10, F.lit(512))).alias("e")).select(F.lit("disk").alias("path"), F.lit(2).alias("chunk"), block(F.col("e")).alias("data"))
     return volumes.prodos_directory(top.unionByName(below)).select("path", "folder", "name", "storage", "key", "data_len")
+
+
+@registered("hex_dump", "SELECT doc_id, printf('%06x', i * 16) AS address, lower(substr(h, i * 32 + 1, 32)) AS bytes FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range((strlen(text) + 15) // 16)) AS i FROM documents)")
+def hex_dump(spark, sf_dir):
+    return K.hex_rows(table(spark, sf_dir, "documents"), "doc_id", F.encode("text", "utf-8")).drop("shown")
