@@ -13,6 +13,13 @@ def uint(data: Column, at: int | Column, width: int, *, big: bool = False) -> Co
     return F.when(F.octet_length(part) == width, F.conv(digits, 16, 10).cast("long"))
 
 
+def packed(x: Column, width: int, *, big: bool = False) -> Column:
+    """An unsigned integer as 1 to 8 bytes, the inverse of uint; higher bits are dropped."""
+    digits = F.right(F.lpad(F.hex(x.cast("long")), 16, "0"), F.lit(2 * width))
+    pairs = F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))
+    return F.unhex(digits if big else F.array_join(F.reverse(pairs), ""))
+
+
 def sign_extended(x: Column, width: int) -> Column:
     """A signed value of so many bytes from its unsigned one."""
     half = 1 << 8 * width - 1
@@ -41,6 +48,11 @@ def power_of_two_from(x: Column) -> Column:
     return F.when(x <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), bits))
 
 
+def power_of_two_above(x: Column) -> Column:
+    """The least power of two that is greater."""
+    return power_of_two_from(x + 1)
+
+
 def four_and_four(x: Column) -> Column:
     """A byte spread over two: its odd bits, then its even bits, all others set."""
     return F.shiftright(x, 1).bitwiseOR(F.lit(0xAA)) * 256 + x.bitwiseOR(F.lit(0xAA))

@@ -72,6 +72,21 @@ def unprintable(text: Column) -> Column:
     return F.translate(text, _PICTURE, _CONTROL)
 
 
+# Letters and the sign without their marks.
+UNMARKED = (
+    ("A", "ÀÁÂÃÄÅ"), ("a", "àáâãäå"), ("C", "Ç"), ("c", "ç"), ("E", "ÈÉÊË"), ("e", "èéêë"), ("f", "ƒ"), ("I", "ÌÍÎÏ"), ("i", "ìíîïı"), ("N", "Ñ"), ("n", "ñ"),
+    ("O", "ÒÓÔÕÖØ"), ("o", "òóôõöø"), ("s", "ß"), ("U", "ÙÚÛÜ"), ("u", "ùúûü"), ("Y", "Ÿ"), ("y", "ÿ"), ("~", "˜"),
+)
+
+
+def ascii_reduced(text: Column, replacement: str = "?") -> Column:
+    """Letters without their marks; what is not ASCII then is replaced, but for pictures of
+    control characters, which stay.  A character past U+FFFF counts as two."""
+    plain = F.translate(text, "".join(m for _, m in UNMARKED), "".join(c * len(m) for c, m in UNMARKED))
+    other = F.regexp_replace(plain, r"[\x{10000}-\x{10FFFF}]", re.sub(r"([\\$])", r"\\\1", replacement * 2))
+    return F.regexp_replace(other, r"[^\x00-\x7f\u2400-\u241f\u2421]", re.sub(r"([\\$])", r"\\\1", replacement))
+
+
 def host_name(name: Column, replacement: str = "_") -> Column:
     """A name that any host takes: signs with a meaning and control characters replaced."""
     return F.regexp_replace(name, r'[\x00-\x1f\x7f<>:"/\\|?*]', replacement)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import formats, paths
+from .lineage import cut
 
 
 def listing(entries: DataFrame, path: str = "path") -> DataFrame:
@@ -110,3 +111,51 @@ def ranked(candidates: DataFrame, by: list[str], score: str, priority: str, *, s
         candidates = candidates.withColumn("_past", past).where("_past = 0").drop("_past")
     best = W.Window.partitionBy(*by).orderBy(F.desc(score), F.asc(priority))
     return candidates.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place in each group's order, from 1.  Groups of any size: rows are
+    dealt by ranges of (by, order), numbered within a range, and moved on by what earlier
+    ranges hold of the group.  The ranges are written before they are counted, so both
+    passes see the same ones.  Rows that tie wholly have places in any order; nulls go first."""
+    keys = [f"_k{i}" for i in range(len(order))]
+    dealt = rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*by, *keys)
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()))
+    # One row for each group and range it reaches into: as many as ranges and groups.
+    held = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = W.Window.partitionBy(*by).orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
+    moved_on = held.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_range"]]
+    inside = W.Window.partitionBy(*by, "_range").orderBy(*keys)
+    out = dealt.withColumn("_place", F.row_number().over(inside)).alias("a").join(moved_on.alias("b"), same)
+    return out.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col("_place") + F.col("_before")).alias(name))
+
+
+def opens(parent: Column, child: Column, depth: str) -> Column:
+    """Whether a nested container is opened.  parent: zip, gzip, nufx, archive, filesystem
+    or multipart; child: file, archive, image, part or embed; depth: `shallow`, `subvol`
+    or `max`.  Files that may turn out to be containers are `file`."""
+    if depth == "max":
+        return F.lit(True)
+    wrapped = (parent == "gzip") | ((parent == "nufx") & (child == "part"))
+    if depth == "shallow":
+        return wrapped | ((parent == "nufx") & (child == "file"))
+    volume = (parent == "multipart") | (parent.isin("zip", "archive") & (child == "image")) | ((parent == "filesystem") & (child == "embed"))
+    return F.when(child == "file", parent != "filesystem").otherwise(wrapped | volume)
+
+
+def add_set(files: DataFrame, path: str = "path") -> DataFrame:
+    """(path, data_path, rsrc_path) of host files to add: a file and its header file are one
+    entry.  A header's name is the file's with `._` before it, else `%` before it, else
+    `.rsrc` after it, in the same directory; the first that is there is taken.  A header
+    without a file is an entry with no data; a file without a header has no rsrc_path."""
+    name, folder = paths.file_name(F.col(path)), paths.directory_name(F.col(path))
+    rows = files.select(F.col(path).alias("p"), folder.alias("folder"), name.alias("name"))
+    size = F.length("name")
+    rule = F.when(F.startswith("name", F.lit("._")) & (size > 2), 0).when(F.startswith("name", F.lit("%")) & (size > 1), 1).when(F.col("name").rlike(r"(?i).\.rsrc$"), 2)
+    short = F.expr("CASE rule WHEN 0 THEN substring(name, 3) WHEN 1 THEN substring(name, 2) ELSE left(name, length(name) - 5) END")
+    ruled = rows.withColumn("rule", rule)
+    heads = ruled.where("rule is not null").withColumn("name", short).groupBy("folder", "name").agg(F.min_by("p", F.struct("rule", "p")).alias("rsrc_path"))
+    data = ruled.where("rule is null").select("folder", "name", F.col("p").alias("data_path"))
+    whole = F.when(F.col("folder") == "", F.col("name")).otherwise(F.concat_ws("/", "folder", "name"))
+    return data.join(heads, ["folder", "name"], "full").select(whole.alias("path"), "data_path", "rsrc_path")

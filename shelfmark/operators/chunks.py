@@ -77,6 +77,27 @@ def copied_blocks(source: DataFrame, target: DataFrame, start: int, to: int, cou
     return target.where(~F.col("chunk").between(to, to + count - 1)).unionByName(new)
 
 
+def written_blocks(target: DataFrame, patches: DataFrame, limit: int | None = None) -> DataFrame:
+    """target chunks (chunk, data) with those of patches in their place; patches outside the
+    first limit chunks are refused and leave the target as it is."""
+    new = patches if limit is None else patches.where(F.col("chunk").between(0, limit - 1))
+    return target.join(new.select("chunk"), "chunk", "left_anti").unionByName(new.select(*target.columns))
+
+
+def replaced_partition(target: DataFrame, source: DataFrame, start: int, count: int) -> DataFrame:
+    """target chunks (chunk, data) with a partition's overwritten by a whole image; of the
+    partition what lies past a smaller image's end stays.  A larger image raises an error."""
+    top = source.agg(F.max("chunk").alias("top"))
+    if (top.first()["top"] or 0) >= count:
+        raise ValueError(f"the image does not fit in {count} chunks")
+    return written_blocks(target, source.withColumn("chunk", F.col("chunk") + start))
+
+
+def data_lengths(extents: DataFrame, by: list[str], length: str, hole: Column) -> DataFrame:
+    """(*by, stored): the length of what is not a hole; zero where all is."""
+    return extents.groupBy(*by).agg(F.coalesce(F.sum(F.when(~hole, F.col(length))), F.lit(0)).cast("long").alias("stored"))
+
+
 def hex_rows(rows: DataFrame, key: str, data: Column, width: int = 16) -> DataFrame:
     """(key, address, bytes, shown): a row for each so many bytes, in hex and as text, dots
     for what can't be shown."""

@@ -1,5 +1,5 @@
 """Registered queries: operators applied to the given tables."""
 
-from . import commands, registry
+from . import attributes, commands, registry
 
-__all__ = ["commands", "registry"]
+__all__ = ["attributes", "commands", "registry"]

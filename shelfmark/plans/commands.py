@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, formats, names, paths
+from ..operators.catalog import numbered
 from .entries import document_entries, table
 from .registry import E_, registered
 
@@ -28,7 +28,7 @@ def metadata_set(spark, sf_dir):
 def multi_catalog(spark, sf_dir):
     pick = lambda t, k, n: table(spark, sf_dir, t).select(F.lit(t).alias("kind"), F.col(k).alias("id"), F.col(n).alias("name"))
     rows = pick("part", "p_partkey", "p_name").unionByName(pick("supplier", "s_suppkey", "s_name")).unionByName(pick("customer", "c_custkey", "c_name"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.upper("name"), "id")).cast("long"))
+    return numbered(rows, ["kind"], [F.upper("name"), F.col("id")])
 
 
 @registered("bad_chunks", "SELECT l_shipmonth, count(*) AS checked, count_if(l_tax >= 0.07)::BIGINT AS unreadable, count_if(l_discount >= 0.09)::BIGINT AS unwritable FROM (SELECT *, strftime(l_shipdate, '%Y-%m') AS l_shipmonth FROM lineitem) GROUP BY 1")
