@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from binascii import crc_hqx
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +12,9 @@ from pyspark.sql import functions as F
 def uint(data: Column, at: int | Column, width: int, *, big: bool = False) -> Column:
     """The unsigned integer of 1 to 7 bytes at a byte place counted from 0."""
     part = F.substring(data, at + 1, F.lit(width))
-    digits = F.hex(part) if big else F.concat(*[F.hex(F.substring(part, i + 1, 1)) for i in reversed(range(width))])
+    digits = F.hex(part)
+    if not big and width > 1:
+        digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))])
     return F.when(F.octet_length(part) == width, F.conv(digits, 16, 10).cast("long"))
 
 
@@ -77,23 +82,25 @@ def crc32(data: Column) -> Column:
     return F.crc32(data)
 
 
+#: Every byte with its bits in reverse order.
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
 def _crc16(data: Column, seed: int, reflected: bool) -> Column:
-    """CRC-16 of polynomial 1021, plain or reflected, by a table for each byte."""
-    table = []
-    for n in range(256):
-        crc = n if reflected else n << 8
-        for _ in range(8):
-            crc = (crc >> 1 ^ 0x8408 if crc & 1 else crc >> 1) if reflected else (crc << 1 ^ 0x1021 if crc & 0x8000 else crc << 1) & 0xFFFF
-        table.append(crc)
-    entries = F.lit(table)
-    values = F.transform(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
-
-    def step(crc: Column, b: Column) -> Column:
+    """CRC-16 of polynomial 1021, plain or reflected, in C over each value."""
+
+    def turned(crc: int) -> int:
+        return int(f"{crc:016b}"[::-1], 2)
+
+    @F.pandas_udf("int")
+    def run(rows: pd.Series) -> pd.Series:
         if reflected:
-            return F.shiftright(crc, 8).bitwiseXOR(F.get(entries, crc.bitwiseXOR(b).bitwiseAND(F.lit(0xFF))))
-        return F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.get(entries, F.shiftright(crc, 8).bitwiseXOR(b)))
+            out = [None if b is None else turned(crc_hqx(bytes(b).translate(_REVERSED), turned(seed))) for b in rows]
+        else:
+            out = [None if b is None else crc_hqx(b, seed) for b in rows]
+        return pd.Series(out, dtype="Int32")
 
-    return F.aggregate(values, F.lit(seed), step)
+    return run(data)
 
 
 def crc16_xmodem(data: Column, seed: int = 0) -> Column:
