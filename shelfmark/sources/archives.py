@@ -48,22 +48,25 @@ def binary_two(files: DataFrame) -> DataFrame:
     """(path, record, name, file_type, aux_type, access, storage, length, start, modified):
     the records of Binary II files.  Each has a header of 128 bytes and its data, filled up
     to a multiple of that; the last byte of a header tells how many follow, 255 at most."""
-    c, p = F.col("content"), F.col("at")
+    c = F.col("content")
     is_header = lambda at: (F.hex(F.substring(c, at + 1, F.lit(3))) == "0A474C") & (bits.uint(c, at + 18, 1) == 2) & (at + UNIT <= F.octet_length(c))
     after = lambda at: (at + UNIT + F.ceil(bits.uint(c, at + 20, 3) / UNIT) * UNIT).cast("int")
 
     def step(state: Column, _: Column) -> Column:
-        last = F.element_at(state, -1)
-        following = F.when(bits.uint(c, last + 127, 1) > 0, after(last))
-        return F.when(F.coalesce(is_header(following), F.lit(False)), F.concat(state, F.array(following))).otherwise(state)
+        # Bound once: a lambda's expressions are evaluated wherever they stand.
+        one = F.when(bits.uint(c, F.element_at(state, -1) + 127, 1) > 0, after(F.element_at(state, -1)))
+        return F.concat(state, F.filter(F.array(one), lambda x: F.coalesce(is_header(x), F.lit(False))))
 
     places = F.aggregate(F.sequence(F.lit(1), bits.uint(c, 127, 1).cast("int")), F.array(F.lit(0)), step)
     first = files.where(F.octet_length("content") >= UNIT).where(is_header(F.lit(0)))
-    starts = first.withColumn("places", F.when(bits.uint(c, 127, 1) > 0, places).otherwise(F.array(F.lit(0))))
-    each = starts.select("path", "content", F.posexplode("places").alias("record", "at"))
-    stamp = F.shiftleft(bits.uint(c, p + 12, 2), 16) + bits.uint(c, p + 10, 2)
-    name = F.decode(F.substring(c, p + 25, bits.uint(c, p + 23, 1).cast("int")), "ISO-8859-1")
-    return each.select("path", "record", name.alias("name"), bits.uint(c, p + 4, 1).alias("file_type"), bits.uint(c, p + 5, 2).alias("aux_type"), bits.uint(c, p + 3, 1).alias("access"), bits.uint(c, p + 7, 1).alias("storage"), bits.uint(c, p + 20, 3).alias("length"), (p + UNIT).cast("long").alias("start"), dates.from_prodos(stamp).alias("modified"))
+    starts = F.when(bits.uint(c, 127, 1) > 0, places).otherwise(F.array(F.lit(0)))
+    # A record's row has its own header only, not the whole file.
+    heads = F.transform(starts, lambda x: F.struct(x.alias("at"), F.substring(c, x + 1, F.lit(UNIT)).alias("head")))
+    each = first.select("path", F.posexplode(heads).alias("record", "r")).select("path", "record", F.col("r.at").alias("at"), F.col("r.head").alias("head"))
+    h = F.col("head")
+    stamp = F.shiftleft(bits.uint(h, 12, 2), 16) + bits.uint(h, 10, 2)
+    name = F.decode(F.substring(h, F.lit(25), bits.uint(h, 23, 1).cast("int")), "ISO-8859-1")
+    return each.select("path", "record", name.alias("name"), bits.uint(h, 4, 1).alias("file_type"), bits.uint(h, 5, 2).alias("aux_type"), bits.uint(h, 3, 1).alias("access"), bits.uint(h, 7, 1).alias("storage"), bits.uint(h, 20, 3).alias("length"), (F.col("at") + UNIT).cast("long").alias("start"), dates.from_prodos(stamp).alias("modified"))
 
 
 def nufx_archive(files: DataFrame) -> DataFrame:

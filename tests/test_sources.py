@@ -145,3 +145,29 @@ def test_prodos_links_and_folders(spark):
     got = sorted((r.folder, r.name, r.storage) for r in volumes.prodos_directory(df).collect())
     assert got == [("", "A", 1), ("", "SUB", 13), ("SUB", "B", 2), ("SUB", "LOW", 13), ("SUB/LOW", "C", 1)]
     assert volumes.prodos_directory(df.limit(0)).collect() == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_binary_two_rows_have_their_header_only(spark):
+    from shelfmark.sources import archives
+
+    files = spark.createDataFrame([("a", b"x")], "path string, content binary")
+    generate = next(x for x in _plan(archives.binary_two(files)).splitlines() if "Generate" in x)
+    assert "head" in generate and ", [1]" in generate
+
+
+def test_checksums_take_no_step_for_each_byte(spark):
+    from binascii import crc_hqx
+
+    from shelfmark.functions import bits
+    from pyspark.sql import functions as F
+
+    data = bytes(range(256)) * 5
+    df = spark.createDataFrame([(data,), (b"",), (None,)], "b binary").select(bits.crc16_xmodem(F.col("b")).alias("x"), bits.crc16_kermit(F.col("b")).alias("k"))
+    assert "aggregate" not in _plan(df)
+    rows = df.collect()
+    assert [r.x for r in rows] == [crc_hqx(data, 0), 0, None]
+    assert [r.k for r in rows][1:] == [0, None]
