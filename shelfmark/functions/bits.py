@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import bounded
+
 
 def uint(data: Column, at: int | Column, width: int, *, big: bool = False) -> Column:
     """The unsigned integer of 1 to 7 bytes at a byte place counted from 0."""
@@ -88,6 +90,7 @@ _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 def _crc16(data: Column, seed: int, reflected: bool) -> Column:
     """CRC-16 of polynomial 1021, plain or reflected, in C over each value."""
+    bounded()
 
     def turned(crc: int) -> int:
         return int(f"{crc:016b}"[::-1], 2)

@@ -10,11 +10,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import bounded
+
 _HALF = bytes(range(128, 256)).decode("latin-1")
 
 
 def decoded(data: Column, codec: str = "mac_roman") -> Column:
     """Text of bytes in mac_roman or cp437."""
+    bounded()
 
     @F.pandas_udf("string")
     def run(rows: pd.Series) -> pd.Series:
@@ -25,6 +28,7 @@ def decoded(data: Column, codec: str = "mac_roman") -> Column:
 
 def encoded(text: Column, codec: str = "mac_roman") -> Column:
     """Inverse of decoded(); characters that the set lacks become `?`."""
+    bounded()
 
     @F.pandas_udf("binary")
     def run(rows: pd.Series) -> pd.Series:
@@ -35,6 +39,7 @@ def encoded(text: Column, codec: str = "mac_roman") -> Column:
 
 def encodable(text: Column, codec: str = "mac_roman") -> Column:
     """Whether the set has all characters."""
+    bounded()
     table = dict.fromkeys(map(ord, bytes(range(256)).decode(codec)))
 
     @F.pandas_udf("boolean")

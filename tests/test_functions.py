@@ -169,3 +169,20 @@ def test_case_bits(spark):
     bits_ = value(spark, names.case_bits(F.col("n")), n=shown)
     assert value(spark, names.cased(F.col("n"), F.col("b")), n=shown.upper().replace(" ", "."), b=bits_) == shown
     assert value(spark, names.cased(F.col("n"), F.col("b")), n="A.B", b=0) == "A.B"
+
+
+def test_python_batches_are_bounded_by_bytes(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from shelfmark.functions import charsets
+
+    @F.pandas_udf("int")
+    def rows(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x))
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))
+    df = spark.range(300, numPartitions=1).select(F.repeat(F.lit("ä"), 50000).alias("t"))
+    whole = df.select(rows("t").alias("n")).agg(F.max("n")).first()[0]
+    df = df.select("t", charsets.encodable(F.col("t")).alias("e"))
+    assert df.select(rows("t").alias("n")).agg(F.max("n")).first()[0] < whole == 300
+    assert df.where("e").count() == 300
