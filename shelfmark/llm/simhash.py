@@ -372,7 +372,8 @@ def compare_wide_cells(batches: Iterator[pa.RecordBatch], radius: int, window: i
     of a cell.  A cell of over window rows is compared tile by tile, after its neighbours
     in order have told which surely hang together.  One of over block rows is cut into
     blocks, groups together, and its pairs of blocks are given out as rows, but for those
-    that lie in one group."""
+    that lie in one group.  Rows that hang together and may have pairs that are no candidates
+    are given out as well, with side 2."""
     for table in _whole_groups(batches, "cell"):
         cell, who, fp = np.asarray(table.column("cell")), np.asarray(table.column("rep")), _wide(table)
         n = len(cell)
@@ -408,6 +409,12 @@ def compare_wide_cells(batches: Iterator[pa.RecordBatch], radius: int, window: i
                     yield _found(who[top[rows]], who[rows], np.repeat(pair, len(rows)), np.arange(len(rows)) >= len(parts[i]), fp[rows])
         left, right, _ = (np.concatenate(x) for x in zip(*held, strict=True))
         yield _found(who[left], who[right])
+        # Of these, not all pairs are candidates.
+        hung, over = _hang(np.arange(n), left, right), np.repeat(size > block, size)
+        hung[over] = np.repeat(first, size)[over]
+        rest = np.flatnonzero(np.bincount(hung, minlength=n)[hung] > np.where(large, 2, FEW))
+        group = X.mix(cell[rest].view(np.uint64) ^ X.mix(who[hung[rest]].view(np.uint64))).view(np.int64)
+        yield _found(group, who[rest], group, np.full(len(rest), 2))
 
 
 def compare_blocks(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -427,6 +434,11 @@ def compare_blocks(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[p
 def wide_links(nodes: DataFrame, radius: int = RADIUS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """nodes: (f0..f3, rep), fingerprints unique.  Candidates (a, b), a under b: of all pairs
     of reps within the radius that meet in a grid, those that candidates() keeps."""
+    return _wide_links(nodes, radius, window, block)[0]
+
+
+def _wide_links(nodes: DataFrame, radius: int, window: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """wide_links(), and (group, rep) of the rows among which it may keep not all pairs."""
     grids = _sampled_grids(max(16, int(nodes.count()).bit_length() - 7))
     many = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listed = F.array(*[F.struct(F.lit(g[0]).alias("grid"), *[F.lit(m).alias(f"m{i}") for i, m in enumerate(g[1:])]) for g in grids])
@@ -434,11 +446,50 @@ def wide_links(nodes: DataFrame, radius: int = RADIUS, window: int = WINDOW, blo
     dealt = nodes.select(*_F, "rep", F.explode(listed).alias("k")).select(*_F, "rep", F.xxhash64("k.grid", cell).alias("cell"))
     met = dealt.repartition(many, "cell").sortWithinPartitions("cell", *_F)
     found = X.written(met.mapInArrow(X.tidy(lambda it: compare_wide_cells(it, radius, window, block)), _FOUND), "wide-links")
-    near, blocks = found.where("pair is null").select("a", "b"), found.where("pair is not null")
+    near, blocks = found.where("pair is null").select("a", "b"), found.where("side < 2")
     if not blocks.isEmpty():
         paired = blocks.repartition(many, "pair").sortWithinPartitions("pair", "side").mapInArrow(X.tidy(lambda it: compare_blocks(it, radius)), "a long, b long")
         near = near.unionByName(paired)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs, found.where("side = 2").select(F.col("pair").alias("group"), F.col("b").alias("rep"))
+
+
+def _apart(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, side, rep, component, f0..f3) come sorted by cell, then side.  Gives all
+    pairs within the radius of one component and another: within a cell's only side, or
+    between its two."""
+    tall, wide = 128, 1024
+    for table in _whole_groups(batches, "cell"):
+        cell, side, who, comp = (np.asarray(table.column(c)) for c in ("cell", "side", "rep", "component"))
+        fp = _wide(table)
+        edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+        for at, to in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            split = at + int(np.searchsorted(side[at:to], 1))
+            one = side[at] == side[to - 1]
+            for i in range(at, to if one else split, tall):
+                for j in range(i if one else split, to, wide):
+                    r, c = slice(i, min(i + tall, to if one else split)), slice(j, min(j + wide, to))
+                    other = comp[r][:, None] != comp[c][None, :]
+                    if not other.any():
+                        continue
+                    apart = sum(np.bitwise_count(fp[r, x][:, None] ^ fp[c, x][None, :]).astype(np.uint16) for x in range(LANES))
+                    left, right = np.nonzero(other & (apart <= radius))
+                    a, b = who[r][left], who[c][right]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def unverified(nodes: DataFrame, rest: DataFrame, found: DataFrame, pairs: DataFrame, radius: int, block: int) -> DataFrame:
+    """(a, b): of the rows (group, rep) of rest, all pairs within the radius that are in one
+    group, but neither among pairs nor in one component of found.  Groups of over block rows
+    are compared by pairs of blocks."""
+    many = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    component = found.select(F.col("node").alias("rep"), "component")
+    rows = X.written(rest.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "wide-rest")
+    parts = rows.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("parts")).where("low < high").select("group", "parts")
+    dealt = rows.join(parts, "group").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("rep", "component", F.xxhash64("group", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), (F.col("i") > F.col("j")).cast("int").alias("side"))
+    sorted_ = dealt.join(nodes.select("rep", *_F), "rep").repartition(many, "cell").sortWithinPartitions("cell", "side", "component")
+    return sorted_.mapInArrow(X.tidy(lambda it: _apart(it, radius)), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -477,8 +528,13 @@ def _classes(docs: DataFrame, similarity: float, radius: int, window: int, block
     fps = X.written(wide_fingerprints(docs), "wide-fingerprints")
     grouped = fps.where("doc_id is not null").groupBy(*_F).agg(F.min(F.struct("doc_id", "version")).alias("own"))
     nodes = X.written(grouped.select(F.monotonically_increasing_id().alias("rep"), *_F, "own.doc_id", "own.version"), "wide-nodes")
-    pairs = X.written(wide_links(nodes, radius, window, block), "wide-pairs")
-    found = X.written(components(verified(docs, nodes, pairs, similarity)), "wide-components")
+    near, rest = _wide_links(nodes, radius, window, block)
+    pairs = X.written(near, "wide-pairs")
+    same = X.written(verified(docs, nodes, pairs, similarity), "wide-same")
+    found = X.written(components(same), "wide-components")
+    more = X.written(unverified(nodes, rest, found, pairs, radius, block), "wide-more")
+    if not more.isEmpty():
+        found = X.written(components(same.unionByName(verified(docs, nodes, more, similarity))), "wide-components")
     least = found.join(nodes, found.node == nodes.rep).groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("keep"))
     of_node = nodes.join(found.join(least, "component"), nodes.rep == F.col("node"), "left").select(*_F, F.coalesce("keep", F.struct("doc_id", "version")).alias("keep"))
     return fps.join(of_node, _F, "left").select("doc_id", "version", "keep")
@@ -495,7 +551,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     a chance of MEETING, at any size; nearer ones meet more surely.  All rows of a cell are
     compared, those of a cell of over `block` rows by pairs of blocks, so this takes time
     with the square of the largest cells, but for groups that surely hang together.  Pairs
-    within the radius are verified on their shingle sets.
+    within the radius are verified on their shingle sets: first a few of each group that
+    hangs together, then all others whose two are not yet in one class.
 
     Equal fingerprints always share a class; so do all texts without words, null or empty.
     Fewer than five words make one shingle.  Rows that share a doc_id are told apart by
