@@ -437,8 +437,9 @@ def wide_links(nodes: DataFrame, radius: int = RADIUS, window: int = WINDOW, blo
     return _wide_links(nodes, radius, window, block)[0]
 
 
-def _wide_links(nodes: DataFrame, radius: int, window: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """wide_links(), and (group, rep) of the rows among which it may keep not all pairs."""
+def _wide_links(nodes: DataFrame, radius: int, window: int, block: int) -> tuple[DataFrame, DataFrame, list[tuple[int, ...]]]:
+    """wide_links(), (group, rep) of the rows among which it may keep not all pairs, and the
+    grids."""
     grids = _sampled_grids(max(16, int(nodes.count()).bit_length() - 7))
     many = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listed = F.array(*[F.struct(F.lit(g[0]).alias("grid"), *[F.lit(m).alias(f"m{i}") for i, m in enumerate(g[1:])]) for g in grids])
@@ -451,54 +452,21 @@ def _wide_links(nodes: DataFrame, radius: int, window: int, block: int) -> tuple
         paired = blocks.repartition(many, "pair").sortWithinPartitions("pair", "side").mapInArrow(X.tidy(lambda it: compare_blocks(it, radius)), "a long, b long")
         near = near.unionByName(paired)
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs, found.where("side = 2").select(F.col("pair").alias("group"), F.col("b").alias("rep"))
+    return pairs, found.where("side = 2").select(F.col("pair").alias("group"), F.col("b").alias("rep")), grids
 
 
-def _apart(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, rep, component, f0..f3) come sorted by cell, then side.  Gives all
-    pairs within the radius of one component and another: within a cell's only side, or
-    between its two."""
-    tall, wide = 128, 1024
-    for table in _whole_groups(batches, "cell"):
-        cell, side, who, comp = (np.asarray(table.column(c)) for c in ("cell", "side", "rep", "component"))
-        fp = _wide(table)
-        edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-        for at, to in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            split = at + int(np.searchsorted(side[at:to], 1))
-            one = side[at] == side[to - 1]
-            for i in range(at, to if one else split, tall):
-                for j in range(i if one else split, to, wide):
-                    r, c = slice(i, min(i + tall, to if one else split)), slice(j, min(j + wide, to))
-                    other = comp[r][:, None] != comp[c][None, :]
-                    if not other.any():
-                        continue
-                    apart = sum(np.bitwise_count(fp[r, x][:, None] ^ fp[c, x][None, :]).astype(np.uint16) for x in range(LANES))
-                    left, right = np.nonzero(other & (apart <= radius))
-                    a, b = who[r][left], who[c][right]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+#: Rows and shingles at most of a block of texts that joined_blocks() compares with another,
+#: blocks that a group is cut into if they have LEAST_ROWS each.
+ROWS, SHINGLES, BLOCKS, LEAST_ROWS = 1024, 1 << 20, 8, 128
 
 
-def unverified(nodes: DataFrame, rest: DataFrame, found: DataFrame, pairs: DataFrame, radius: int, block: int) -> DataFrame:
-    """(a, b): of the rows (group, rep) of rest, all pairs within the radius that are in one
-    group, but neither among pairs nor in one component of found.  Groups of over block rows
-    are compared by pairs of blocks."""
-    many = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    component = found.select(F.col("node").alias("rep"), "component")
-    rows = X.written(rest.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "wide-rest")
-    parts = rows.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("parts")).where("low < high").select("group", "parts")
-    dealt = rows.join(parts, "group").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("rep", "component", F.xxhash64("group", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), (F.col("i") > F.col("j")).cast("int").alias("side"))
-    sorted_ = dealt.join(nodes.select("rep", *_F), "rep").repartition(many, "cell").sortWithinPartitions("cell", "side", "component")
-    return sorted_.mapInArrow(X.tidy(lambda it: _apart(it, radius)), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-
-
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of nodes (rep, doc_id, version) whose texts' shingle sets have that
-    Jaccard similarity.  Each text in a pair is read once, by a join on its document."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rep, words): the distinct shingles of the texts of the nodes (rep, doc_id, version)
+    that are in pairs (a, b).  Each text is read once, by a join on its document."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(nodes.select("rep", "doc_id", "version"), "rep")
     texts = _keyed(docs).join(need, ["doc_id", "version"]).select("rep", "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, texts = batch.column("rep"), X.as_bytes(batch.column("text"))
             for a, b in X.chunks(texts):
@@ -506,7 +474,11 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: fl
                 own = [np.unique(x).view(np.int64) for x in np.split(sh, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([rep.slice(a, b - a), pa.array(own, pa.list_(pa.int64()))], names=["rep", "words"])
 
-    known = X.written(texts.mapInArrow(X.tidy(sets), "rep long, words array<long>").dropDuplicates(["rep"]), "shingles")
+    return texts.mapInArrow(X.tidy(run), "rep long, words array<long>").dropDuplicates(["rep"])
+
+
+def verified(known: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose shingle_sets() have that Jaccard similarity."""
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -522,19 +494,115 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: fl
     return left.join(known.select(F.col("rep").alias("b"), F.col("words").alias("q")), "b").select("a", "b", "p", "q").mapInArrow(X.tidy(same), "a long, b long")
 
 
+def _joining(fp: np.ndarray, comp: np.ndarray, split: int | None, words: np.ndarray, edge: np.ndarray, masks: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (left, right) of rows of different components comp that hang together what all
+    pairs do that are within the radius, meet in a grid of masks and have that similarity;
+    of all pairs of rows, or those of one row before split and one from it on.  Row i has the
+    shingles words[edge[i]:edge[i + 1]]."""
+    n = len(fp)
+    _, top = np.unique(comp, return_inverse=True)
+    _, word = np.unique(words, return_inverse=True)
+    size, lanes, mine = np.diff(edge), np.ascontiguousarray(fp.T), np.zeros(int(word.max(initial=-1)) + 1, bool)
+    left, right = [], []
+    for i in range(n if split is None else split):
+        start = i + 1 if split is None else split
+        other = start + np.flatnonzero(top[start:] != top[i])
+        # No two sets agree in more than the smaller one.
+        other = other[np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i])]
+        apart = sum(np.bitwise_count(lane[other] ^ lane[i]).astype(np.uint16) for lane in lanes)
+        other = other[apart <= radius]
+        if not len(other):
+            continue
+        of = word[edge[i] : edge[i + 1]]
+        mine[of] = True
+        # A few rows at a time: of rows that one link joins, the others need no look.
+        a, step = 0, 256
+        while a < len(other):
+            some = other[a : a + step]
+            a += step
+            some = some[top[some] != top[i]]
+            if not len(some):
+                continue
+            at = np.repeat(edge[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
+            hits = np.concatenate([[0], np.cumsum(mine[word[at]])])
+            end = np.cumsum(size[some])
+            both = hits[end] - hits[end - size[some]]
+            some = some[both >= similarity * (size[i] + size[some] - both)]
+            some = some[((fp[some] ^ fp[i])[:, None, :] & masks).any(2).all(1) == 0]
+            for j in some.tolist():
+                if top[j] != top[i]:
+                    left.append(i)
+                    right.append(j)
+                    top[top == top[j]] = top[i]
+        mine[of] = False
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def joined_blocks(batches: Iterator[pa.RecordBatch], masks: np.ndarray, radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, side, rep, component, words, f0..f3) come sorted by cell, then side.  Gives
+    links (a, b) within a cell's only side, or between its two: fewer than the cell has
+    rows."""
+    for table in _whole_groups(batches, "cell"):
+        cell, side, who, comp = (np.asarray(table.column(c)) for c in ("cell", "side", "rep", "component"))
+        fp, sets = _wide(table), pa.concat_arrays(table.column("words").chunks)
+        words, edge = np.asarray(sets.values), np.asarray(sets.offsets).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+        for at, to in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            split = None if side[at] == side[to - 1] else int(np.searchsorted(side[at:to], 1))
+            left, right = _joining(fp[at:to], comp[at:to], split, words[edge[at] : edge[to]], edge[at : to + 1] - edge[at], masks, radius, similarity)
+            a, b = who[at:to][left], who[at:to][right]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def joining(nodes: DataFrame, rest: DataFrame, found: DataFrame, pairs: DataFrame, known: DataFrame, grids: list[tuple[int, ...]], similarity: float, radius: int, most: int = ROWS) -> DataFrame:
+    """Links (a, b) that hang together, with the components found of the verified pairs, what
+    all pairs do that are in one group of rest (group, rep), within the radius, and have that
+    similarity.
+
+    Only links that join components come out, as the task that compares two texts has the
+    shingle sets (known) of both.  So that a text is sent for one group, not for each of its
+    cells, texts meet in what hangs together by pairs, verified or not.  Such a group is cut
+    into blocks of `most` rows at most, large components apart from small ones, and every two
+    blocks are compared, but for those of one component."""
+    many = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
+    rows = X.written(rest.join(of("rep", "component"), "rep", "left").select("group", "rep", F.coalesce("component", "rep").alias("component")), "wide-rest")
+    mixed = rows.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("group")
+    # What hangs together by pairs, with components for nodes.
+    over = pairs.join(of("a", "p"), "a", "left").join(of("b", "q"), "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")).where("a != b").distinct()
+    whole = components(over).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    sizes = known.select("rep", F.size("words").alias("n"))
+    rows = X.written(rows.join(mixed, "group").select("rep", "component").distinct().join(whole, "component").join(sizes, "rep"), "wide-rows")
+    parts = rows.groupBy("whole", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    wide = parts.groupBy("whole").agg(F.least(F.lit(most), F.greatest(F.lit(min(LEAST_ROWS, most)), F.ceil(F.sum("c") / BLOCKS))).alias("rows"), F.count("*").alias("k")).where("k > 1").drop("k")
+    parts = parts.join(wide, "whole").withColumn("weight", F.col("c") / F.col("rows") + F.col("n") / SHINGLES)
+    bins = parts.where("weight <= 1").groupBy("whole").agg(F.ceil(F.sum("weight")).alias("bins"))
+    parts = parts.join(bins, "whole", "left").select("whole", "component", F.when(F.col("weight") > 1, F.ceil("weight")).alias("cut"), "bins")
+    block = F.when(F.col("cut") > 0, F.xxhash64("whole", "component", F.pmod(F.xxhash64("rep"), "cut"))).otherwise(F.xxhash64("whole", F.pmod(F.xxhash64("component"), "bins")))
+    rows = X.written(rows.drop("n").join(parts, ["whole", "component"]).select("whole", "rep", "component", F.when(F.col("cut") > 0, F.col("component")).alias("large"), block.alias("block")), "wide-blocks")
+    blocks = rows.select("whole", "large", "block").distinct()
+    both = blocks.join(blocks.select("whole", F.col("large").alias("large_"), F.col("block").alias("block_")), "whole").where("block <= block_ and not (large <=> large_ and large is not null)").select("block", "block_", F.xxhash64("block", "block_").alias("cell"))
+    sides = both.select("block", "cell", F.lit(0).alias("side")).unionByName(both.where("block < block_").select(F.col("block_").alias("block"), "cell", F.lit(1).alias("side")))
+    dealt = rows.join(sides, "block").select("rep", "component", "cell", "side").join(nodes.select("rep", *_F), "rep").join(known, "rep")
+    masks = np.array([g[1:] for g in grids], np.int64).view(np.uint64)
+    sorted_ = dealt.select("cell", "side", "rep", "component", "words", *_F).repartition(many, "cell").sortWithinPartitions("cell", "side", "rep")
+    return sorted_.mapInArrow(X.tidy(lambda it: joined_blocks(it, masks, radius, similarity)), "a long, b long").distinct()
+
+
 def _classes(docs: DataFrame, similarity: float, radius: int, window: int, block: int) -> DataFrame:
     """(doc_id, version, keep) of every row: keep is the least (doc_id, version) of its class,
     null in a class of null ids alone."""
     fps = X.written(wide_fingerprints(docs), "wide-fingerprints")
     grouped = fps.where("doc_id is not null").groupBy(*_F).agg(F.min(F.struct("doc_id", "version")).alias("own"))
     nodes = X.written(grouped.select(F.monotonically_increasing_id().alias("rep"), *_F, "own.doc_id", "own.version"), "wide-nodes")
-    near, rest = _wide_links(nodes, radius, window, block)
+    near, rest, grids = _wide_links(nodes, radius, window, block)
     pairs = X.written(near, "wide-pairs")
-    same = X.written(verified(docs, nodes, pairs, similarity), "wide-same")
+    known = X.written(shingle_sets(docs, nodes, pairs), "shingles")
+    same = X.written(verified(known, pairs, similarity), "wide-same")
     found = X.written(components(same), "wide-components")
-    more = X.written(unverified(nodes, rest, found, pairs, radius, block), "wide-more")
+    more = X.written(joining(nodes, rest, found, pairs, known, grids, similarity, radius, min(ROWS, block)), "wide-more")
     if not more.isEmpty():
-        found = X.written(components(same.unionByName(verified(docs, nodes, more, similarity))), "wide-components")
+        found = X.written(components(same.unionByName(more)), "wide-components")
     least = found.join(nodes, found.node == nodes.rep).groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("keep"))
     of_node = nodes.join(found.join(least, "component"), nodes.rep == F.col("node"), "left").select(*_F, F.coalesce("keep", F.struct("doc_id", "version")).alias("keep"))
     return fps.join(of_node, _F, "left").select("doc_id", "version", "keep")
@@ -552,7 +620,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     compared, those of a cell of over `block` rows by pairs of blocks, so this takes time
     with the square of the largest cells, but for groups that surely hang together.  Pairs
     within the radius are verified on their shingle sets: first a few of each group that
-    hangs together, then all others whose two are not yet in one class.
+    hangs together, then all others whose two are not yet in one class; of these only the
+    links that join classes come out, fewer than there are rows.
 
     Equal fingerprints always share a class; so do all texts without words, null or empty.
     Fewer than five words make one shingle.  Rows that share a doc_id are told apart by

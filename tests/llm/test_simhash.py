@@ -260,3 +260,26 @@ def test_every_pair_that_meets_is_in_one_class_or_verified(spark, window, block)
     want = groups(120, links)
     got = {r.doc_id: r.component_id for r in S.near_duplicates(df, radius=radius, window=window, block=block).collect()}
     assert [got[i] for i in range(120)] == want
+
+
+def test_texts_that_are_alike_make_no_row_for_each_pair(spark):
+    """150 texts with half their words in common, and two near copies that no candidate
+    links: one link comes out of the step that looks at all pairs, not the 22,600 pairs."""
+    rnd = random.Random(27)
+    base = [f"w{i}" for i in range(120)]
+    rows = [" ".join(base[:60] + [f"x{rnd.randrange(10**6)}" for _ in range(60)]) for _ in range(150)]
+    rows[140] = rows[3] + " more"
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    fps = S.wide_fingerprints(df).collect()
+    nodes = spark.createDataFrame([(r.doc_id, r.doc_id, r.version, r.f0, r.f1, r.f2, r.f3) for r in fps], "rep long, doc_id long, version long, f0 long, f1 long, f2 long, f3 long")
+    star = spark.createDataFrame([(0, i) for i in range(1, 150)], "a long, b long")
+    rest = spark.createDataFrame([(g, i) for g in range(3) for i in range(150)], "group long, rep long")
+    none = spark.createDataFrame([], "node long, component long")
+    grids = [(0, 0, 0, 0, 0)]
+    for most in (1024, 40):
+        made = S.joining(nodes, rest, none, star, S.shingle_sets(df, nodes, star), grids, 0.8, 256, most)
+        assert [tuple(r) for r in made.collect()] == [(3, 140)]
+    copies = spark.createDataFrame([(i, rows[0] + f" own{i}") for i in range(150)], "doc_id long, text string")
+    known = S.shingle_sets(copies, S._keyed(copies).select(S.F.col("doc_id").alias("rep"), "doc_id", "version"), star)
+    made = [(r.a, r.b) for r in S.joining(nodes, rest, none, star, known, grids, 0.8, 256).collect()]
+    assert set(groups(150, made)) == {0} and len(made) < 600
