@@ -464,7 +464,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFra
     """(rep, words): the distinct shingles of the texts of the nodes (rep, doc_id, version)
     that are in pairs (a, b).  Each text is read once, by a join on its document."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(nodes.select("rep", "doc_id", "version"), "rep")
-    texts = _keyed(docs).join(need, ["doc_id", "version"]).select("rep", "text")
+    texts = X.only(_keyed(docs).withColumn("doc", F.col("doc_id")), need.select(F.col("doc_id").alias("doc"))).join(need, ["doc_id", "version"]).select("rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -589,9 +589,170 @@ def joining(nodes: DataFrame, rest: DataFrame, found: DataFrame, pairs: DataFram
     return sorted_.mapInArrow(X.tidy(lambda it: joined_blocks(it, masks, radius, similarity)), "a long, b long").distinct()
 
 
-def _classes(docs: DataFrame, similarity: float, radius: int, window: int, block: int) -> DataFrame:
+#: Numbers in which shingle_counts() counts, rows of a cell of shared_cells() of which all
+#: pairs are listed.
+COUNTS, CELL = 1 << 18, 64
+
+
+def _prefixes(sh: np.ndarray, n: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """(text, shingle, place, size of the text's set) of the first shingles of each text, the
+    rarest by counts first: as many as two sets of that similarity need to have one in common."""
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((sh, owner))
+    sh, owner = sh[order], owner[order]
+    once = np.concatenate([[True], (sh[1:] != sh[:-1]) | (owner[1:] != owner[:-1])])[: len(sh)]
+    sh, owner = sh[once], owner[once]
+    order = np.lexsort((sh, counts[(sh >> np.uint64(46)).astype(np.int64)], owner))
+    sh, size = sh[order], np.bincount(owner, minlength=len(n))
+    place = np.arange(len(sh)) - np.repeat(np.cumsum(size) - size, size)
+    on = place <= np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64), size)
+    return owner[on], sh[on], place[on], size[owner[on]]
+
+
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """How many shingles there are with each value of their hash's first bits.  They tell
+    frequent ones, which many strangers share, from rare ones; any numbers would do."""
+    pieces = 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(COUNTS, np.int64)
+        for batch in batches:
+            texts = X.as_bytes(batch.column("text"))
+            for a, b in X.chunks(texts):
+                out += np.bincount((_sets(texts[a:b])[0] >> np.uint64(46)).astype(np.int64), minlength=COUNTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([x.tobytes() for x in np.split(out, pieces)], pa.binary())], names=["piece", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                out[i] = out.get(i, 0) + np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["piece", "counts"])
+
+    schema = "piece int, counts binary"
+    summed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(X.tidy(count), schema).repartition(pieces, "piece").mapInArrow(X.tidy(add), schema)
+    found = {r.piece: np.frombuffer(r.counts, np.int64) for r in summed.collect()}
+    return np.concatenate([found[i] for i in range(pieces)]) if found else np.zeros(COUNTS, np.int64)
+
+
+def shared_shingles(docs: DataFrame, similarity: float) -> DataFrame:
+    """(token, version, n, place): the shingles of _prefixes() that several texts have."""
+    many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = shingle_counts(docs)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, version = X.as_bytes(batch.column("text")), np.asarray(batch.column("version"))
+            for a, b in X.chunks(texts):
+                owner, sh, place, size = _prefixes(*_sets(texts[a:b]), counts, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(version[a:b][owner]), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))], names=["token", "version", "n", "place"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, "token"):
+            token, version = np.asarray(table.column("token")), np.asarray(table.column("version"))
+            new = np.concatenate([[True], token[1:] != token[:-1]])
+            once = new | np.concatenate([[True], version[1:] != version[:-1]])
+            group = np.cumsum(new) - 1
+            yield from table.filter(pa.array(once & (np.bincount(group, once)[group] > 1))).to_batches()
+
+    schema = "token long, version long, n int, place int"
+    # A token's texts need not be together in order of anything but their version.
+    texts = _keyed(docs).where("doc_id is not null and text is not null").select("version", "text")
+    return texts.mapInArrow(X.tidy(listed), schema).repartition(many, "token").sortWithinPartitions("token", "version").mapInArrow(X.tidy(several), schema)
+
+
+def shared_cells(batches: Iterator[pa.RecordBatch], similarity: float, cell: int) -> Iterator[pa.RecordBatch]:
+    """Rows (token, rep, component, n, place) come sorted by token, then rep.  Gives pairs
+    (a, b, kind 0, n and place of each) of different components and sizes near enough.  Of a
+    token with over `cell` rows these are (token, rep, kind 2) of every row, and pairs (a, b,
+    kind 1) by which they hang together."""
+    for table in _whole_groups(batches, "token"):
+        token, rep, comp, n, place = (np.asarray(table.column(c)).astype(np.int64) for c in ("token", "rep", "component", "n", "place"))
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(first, len(token)))
+        rank, large = np.arange(len(token)) - np.repeat(first, size), np.repeat(size > cell, size)
+        over = np.flatnonzero(large)
+        step = over[rank[over] > 0]
+        none = lambda k, i: (np.full(len(i), k), *[np.zeros(len(i), np.int64)] * 4)
+        out = [(token[over], rep[over], *none(2, over)), (rep[step - 1], rep[step], *none(1, step))]
+        right = np.flatnonzero(~large)
+        for d in range(1, cell):
+            right = right[rank[right] >= d]
+            if not len(right):
+                break
+            left = right - d
+            on = (comp[left] != comp[right]) & (np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-6)
+            x, y = left[on], right[on]
+            out.append((rep[x], rep[y], np.zeros(len(x), np.int64), n[x], n[y], place[x], place[y]))
+        a, b, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(x.astype(np.int32)) for x in rest)], names=["a", "b", "kind", "n", "m", "i", "j"])
+
+
+def likely(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of pairs of kind 0 of shared_cells(), a row for each shingle that they share,
+    that may have the similarity.  What they share beyond these shingles comes, in the order
+    of all, after the last of them and after the end of one's first shingles."""
+    past = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1  # noqa: E731  shingles of a text that are not its first ones
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("m").alias("m"), F.max("i").alias("i"), F.max("j").alias("j"))
+    most = F.col("both") + F.least(F.greatest(past("n"), past("m")), F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
+    return pairs.where(most >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6).select("a", "b")
+
+
+def completed(docs: DataFrame, classes: DataFrame, similarity: float, most: int = ROWS, cell: int = CELL) -> DataFrame:
+    """classes (doc_id, version, keep), a table, with those joined that any two texts of that
+    similarity are in.
+
+    Two sets of that similarity have one of their first shingles in common, in any order of
+    shingles that all texts share (see _prefixes()), so every such pair meets in a shingle.
+    Pairs that are in one class already are not looked at."""
+    many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = X.written(shared_shingles(docs, similarity), "shared-shingles")
+    texts = classes.where("doc_id is not null").groupBy("version").agg(F.min(F.struct("doc_id", "keep")).alias("own"))
+    nodes = X.written(texts.select(F.monotonically_increasing_id().alias("rep"), "version", "own.doc_id", "own.keep"), "shared-nodes")
+    label = nodes.groupBy("keep").agg(F.min("rep").alias("component"))
+    found = X.written(nodes.join(label, "keep").select(F.col("rep").alias("node"), "component"), "shared-classes")
+    met = shared.join(nodes.select("version", "rep"), "version").join(found, F.col("rep") == F.col("node")).select("token", "rep", "component", "n", "place")
+    mixed = X.written(met, "shared-met")
+    X.forget(shared)
+    several = mixed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    dealt = mixed.join(several, "token").repartition(many, "token").sortWithinPartitions("token", "rep")
+    told = X.written(dealt.mapInArrow(X.tidy(lambda it: shared_cells(it, similarity, cell)), "a long, b long, kind int, n int, m int, i int, j int"), "shared-pairs")
+    X.forget(mixed)
+    pairs = X.written(likely(told.where("kind = 0"), similarity), "shared-likely")
+    # A pair that shares a shingle of a large cell is compared there, whatever else it shares.
+    chain = told.where("kind = 1").select("a", "b").distinct()
+    if pairs.isEmpty() and chain.isEmpty():
+        return classes
+    known = X.written(shingle_sets(docs, nodes, pairs.unionByName(chain)), "shared-sets")
+    same = X.written(verified(known, pairs, similarity), "shared-same")
+    of = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
+    links = lambda near: near.join(of("a", "p"), "a").join(of("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    rest = told.where("kind = 2").select(F.col("a").alias("group"), F.col("b").alias("rep"))
+    if not rest.isEmpty():
+        moved = components(links(same)).select(F.col("node").alias("component"), F.col("component").alias("now"))
+        now = X.written(found.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component")), "shared-now")
+        # Every two meet in a grid without bits, and none differ in more bits than there are.
+        blank = nodes.select("rep", *[F.lit(0).cast("long").alias(c) for c in _F])
+        more = joining(blank, rest, now, chain, known, [(0,) * (LANES + 1)], similarity, 64 * LANES, most)
+        same = X.written(same.unionByName(more), "shared-links")
+    one = components(links(same)).join(label.select(F.col("component").alias("node"), "keep"), "node")
+    least = one.groupBy("component").agg(F.min("keep").alias("now"))
+    moved = X.written(one.join(least, "component").select("keep", "now").where("keep != now"), "shared-moved")
+    return classes.join(moved, "keep", "left").select("doc_id", "version", F.coalesce("now", "keep").alias("keep"))
+
+
+def _classes(docs: DataFrame, similarity: float, radius: int | None, window: int, block: int) -> DataFrame:
     """(doc_id, version, keep) of every row: keep is the least (doc_id, version) of its class,
     null in a class of null ids alone."""
+    if radius is not None:
+        return _grid_classes(docs, similarity, radius, window, block)
+    classes = X.written(_grid_classes(docs, similarity, RADIUS, window, block), "grid-classes")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes what was shuffled
+    return completed(docs, classes, similarity, min(ROWS, block))
+
+
+def _grid_classes(docs: DataFrame, similarity: float, radius: int, window: int, block: int) -> DataFrame:
+    """_classes() of links of texts within the radius that meet in a grid."""
     fps = X.written(wide_fingerprints(docs), "wide-fingerprints")
     grouped = fps.where("doc_id is not null").groupBy(*_F).agg(F.min(F.struct("doc_id", "version")).alias("own"))
     nodes = X.written(grouped.select(F.monotonically_increasing_id().alias("rep"), *_F, "own.doc_id", "own.version"), "wide-nodes")
@@ -608,7 +769,7 @@ def _classes(docs: DataFrame, similarity: float, radius: int, window: int, block
     return fps.join(of_node, _F, "left").select("doc_id", "version", "keep")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int | None = None, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) of every row: near duplicates, by the Jaccard similarity of
     five-word shingles, hang together; component_id is the least doc_id.
 
@@ -623,6 +784,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     hangs together, then all others whose two are not yet in one class; of these only the
     links that join classes come out, fewer than there are rows.
 
+    These links may lack one pair in twenty at a similarity of 0.8: those that differ in more
+    than RADIUS bits or meet in no grid.  So completed() then joins the classes of all other
+    pairs, by their shingles alone, and no link is lost.  If a radius is given, only links
+    within it that meet in a grid count.
+
     Equal fingerprints always share a class; so do all texts without words, null or empty.
     Fewer than five words make one shingle.  Rows that share a doc_id are told apart by
     their texts.  A row with a null id takes the class of its fingerprint, a null one where
@@ -638,7 +804,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     id and text, the least by the other columns).  A null or empty text is a text without
     words, so one such row stays.  Rows with a null doc_id are of no class here: they stay.
     An empty table gives no rows; columns of any name and type pass through."""
-    classes = X.written(_classes(docs, similarity, RADIUS, WINDOW, BLOCK), "near-classes")
+    classes = X.written(_classes(docs, similarity, None, WINDOW, BLOCK), "near-classes")
     mine = classes.where("doc_id is not null")
     gone = mine.where("doc_id != keep.doc_id or version != keep.version").select(F.col("doc_id").alias("_gone"), F.col("version").alias("_version")).distinct()
     at = [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]

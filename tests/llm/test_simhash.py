@@ -283,3 +283,28 @@ def test_texts_that_are_alike_make_no_row_for_each_pair(spark):
     known = S.shingle_sets(copies, S._keyed(copies).select(S.F.col("doc_id").alias("rep"), "doc_id", "version"), star)
     made = [(r.a, r.b) for r in S.joining(nodes, rest, none, star, known, grids, 0.8, 256).collect()]
     assert set(groups(150, made)) == {0} and len(made) < 600
+
+
+@pytest.mark.parametrize("cell", [64, 4])
+def test_no_link_is_lost(spark, monkeypatch, cell):
+    """Short texts at 0.8 and somewhat above: many differ in over RADIUS bits or meet in no
+    grid.  Classes are those of all pairs, by brute force; some texts are in a hot group."""
+    monkeypatch.setattr(S.completed, "__defaults__", (*S.completed.__defaults__[:-1], cell))
+    rnd = random.Random(51)
+    rows = []
+    for i in range(200):
+        more = rnd.choice([2, 3, 5, 8])
+        base = [f"w{rnd.randrange(3000)}" for _ in range(4 * more + 4)]
+        if i % 8 == 0:
+            base[more:] = [f"line{j}" for j in range(len(base) - more)]
+        rows += [" ".join(base), " ".join([*base, *(f"x{i}.{j}" for j in range(more - i % 2))])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if jaccard(rows[a], rows[b]) >= 0.8]
+    fps = {r.doc_id: tuple(r[f"f{i}"] for i in range(4)) for r in S.wide_fingerprints(df).collect()}
+    apart = [sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(fps[a], fps[b], strict=True)) for a, b in links]
+    assert sum(x > S.RADIUS for x in apart) > 5
+    assert len(links) > 150
+    want = groups(len(rows), links)
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    assert sorted(r.doc_id for r in S.keep_one(df).collect()) == sorted(set(want))
